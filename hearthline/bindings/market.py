@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthline.functions.hashing import analytics_uuid
-from hearthline.session import configure
+from hearthline.session import configure, cut_lineage
 from hearthline.sources.events import as_events, text_map, union_events
 
 POPULATION_AS_OF = datetime(1998, 6, 15, tzinfo=timezone.utc)
@@ -164,7 +164,7 @@ CTES: dict[str, str] = {
         SELECT 'NATION_' || c_nationkey AS origin_anchor_id,
                'HUB-' || substr(o_orderpriority,1,1) AS destination_anchor_id,
                'motorbike' AS mode, 'am_peak' AS departure_bucket,
-               round(avg(o_totalprice) / 10000.0, 4) AS travel_time_min,
+               max(o_totalprice) / 10000.0::DOUBLE AS travel_time_min,
                date_trunc('month', o_orderdate)::TIMESTAMP + INTERVAL 27 DAY AS observed_at,
                date_trunc('month', o_orderdate)::TIMESTAMP AS valid_from,
                date_trunc('month', o_orderdate)::TIMESTAMP + INTERVAL 2 MONTH AS valid_to,
@@ -836,7 +836,7 @@ class Market:
         month = F.date_trunc("month", "o_orderdate")
         grouped = self.table("orders").join(customers, "o_custkey").groupBy(
             "c_nationkey", F.substring("o_orderpriority", 1, 1).alias("d"), month.alias("m")
-        ).agg(F.round(F.avg("o_totalprice") / 10000.0, 4).alias("travel_time_min"))
+        ).agg((F.max("o_totalprice") / 10000.0).alias("travel_time_min"))
         return grouped.select(
             F.concat(F.lit("NATION_"), "c_nationkey").alias("origin_anchor_id"),
             F.concat(F.lit("HUB-"), "d").alias("destination_anchor_id"),
@@ -867,21 +867,22 @@ class Market:
             ),
             F.concat(F.lit("PRJ-"), F.floor(F.col("c_custkey") / 15)).alias("project_id"),
         ).join(snapshot, "household_id")
-        return population_commute(
-            placed, self.travel, destination=self.hub(F.col("project_id")),
-            as_of=POPULATION_AS_OF,
+        return cut_lineage(
+            population_commute(
+                placed, self.travel, destination=self.hub(F.col("project_id")),
+                as_of=POPULATION_AS_OF,
+            )
         )
 
     @cached_property
     def market_sets(self) -> DataFrame:
         """Packed choice set of every project at the population's time."""
-        from hearthline.operators.choices import choice_set, pack_choice_sets
+        from hearthline.operators.choices import choice_sets
 
         projects = self.people.select("project_id").distinct().withColumn(
             "as_of", F.lit(POPULATION_AS_OF)
         )
-        rows, _ = choice_set(projects, self.units, self.offers, horizon=POPULATION_AS_OF)
-        return pack_choice_sets(rows)
+        return choice_sets(projects, self.units, self.offers, horizon=POPULATION_AS_OF)[0]
 
     @cached_property
     def arms(self) -> DataFrame:

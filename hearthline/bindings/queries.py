@@ -43,7 +43,7 @@ def query(name: str, oracle: str | None = None, doubles: dict[str, int] | None =
                     f"round({c}::DOUBLE, {d}) + 0.0::DOUBLE AS {c}" for c, d in doubles.items()
                 )
                 text = f"SELECT * REPLACE ({swaps}) FROM ({oracle})"
-            ORACLES[name] = sql(text)
+            ORACLES[name] = sql(text if doubles else f"SELECT * FROM ({oracle})")
         return fn
 
     return add
@@ -146,7 +146,7 @@ def _(m):
                travel_time_min, {ts_sql('observed_at')} AS observed_at,
                {ts_sql('valid_from')} AS valid_from, {ts_sql('valid_to')} AS valid_to, source_id
         FROM travel""",
-    {"travel_time_min": 4},
+    {"travel_time_min": 6},
 )
 def _(m):
     t = m.travel
@@ -216,7 +216,7 @@ def _capture_raw(m: Market) -> DataFrame:
 
 
 CAPTURE_CTE = f"""
-    SELECT {ts_sql('occurred_at')} AS at, {iso_sql('occurred_at')} AS captured_at,
+    SELECT {ts_sql('occurred_at')} AS moment, {iso_sql('occurred_at')} AS captured_at,
            CASE WHEN ok % 3 = 0 THEN '' ELSE household END AS household_id,
            'P' || ck AS party_id, CASE WHEN ok % 3 = 0 THEN 'party' ELSE 'household' END AS kind,
            CASE WHEN ok % 3 = 0 THEN 'P' || ck ELSE household END AS entity,
@@ -242,7 +242,7 @@ CAPTURE_SQL = f"""
           "'stated_max_travel_min': stated_max_travel_min, 'workplace_zone': workplace_zone}")})
         AS row_key FROM cap)
     SELECT 'qualification_observed' AS event_type, kind AS entity_type, entity AS entity_id,
-           at AS occurred_at, 'capture' AS source_id,
+           moment AS occurred_at, 'capture' AS source_id,
            row_key || ':qualification' AS source_event_key,
            {json_sql("MAP {'purchase_purpose': " + _un('purchase_purpose')
                      + ", 'household_income_band': household_income_band"
@@ -253,11 +253,11 @@ CAPTURE_SQL = f"""
                      + ", 'preferred_product_type': " + _un('preferred_product_type') + "}")}
              AS payload FROM keyed
     UNION ALL
-    SELECT 'decision_stage_observed', kind, entity, at, 'capture', row_key || ':stage',
+    SELECT 'decision_stage_observed', kind, entity, moment, 'capture', row_key || ':stage',
            '{{"next_action":"call back","stage":"qualified"}}'
     FROM keyed WHERE decision_stage <> 'auto'
     UNION ALL
-    SELECT 'reason_observed', kind, entity, at, 'capture', row_key || ':reason:1',
+    SELECT 'reason_observed', kind, entity, moment, 'capture', row_key || ':reason:1',
            '{{"direction":"' || CASE WHEN dir = '' THEN 'unknown' ELSE dir END
              || '","evidence_type":"explicit","reason_code":"price"}}'
     FROM keyed WHERE reason_1 = 'price'"""
@@ -1034,7 +1034,7 @@ def _(m):
          AND t.destination_anchor_id = o.destination_anchor_id AND t.valid_from <= o.as_of
          AND o.as_of < t.valid_to AND t.observed_at <= o.as_of
         GROUP BY 1, 2, 3""",
-    {"travel_time_min": 4},
+    {"travel_time_min": 6},
 )
 def _(m):
     customers = m.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
@@ -1054,7 +1054,7 @@ def _(m):
     "commute_lookup",
     """SELECT a.decision_id, a.origin AS origin_anchor_id, t.best[3] AS commute_min
        FROM anchored a LEFT JOIN timed t USING (decision_id)""",
-    {"commute_min": 4},
+    {"commute_min": 6},
 )
 def _(m):
     return features.commute_lookup(
@@ -1069,7 +1069,7 @@ def _(m):
               CASE WHEN a.alternative_type = 'unit' THEN e.commute_min END AS commute_min
        FROM examples e JOIN alternatives a ON a.project_id = e.project_id
         AND a.as_of = e.as_of""",
-    {"commute_min": 4},
+    {"commute_min": 6},
 )
 def _(m):
     good, _ = _decisions(m)
@@ -1092,7 +1092,7 @@ def _(m):
 @query(
     "population_commute",
     "SELECT household_id, project_id, commute_min FROM people",
-    {"commute_min": 4},
+    {"commute_min": 6},
 )
 def _(m):
     return m.people.select("household_id", "project_id", "commute_min")
@@ -1486,9 +1486,6 @@ def _(m):
 
 @query(
     "quantile_summary",
-    f"SELECT scenario_id, {SUMMARY_SQL.replace('v', 'unit_share', 1).replace('(v', '(unit_share')}"
-    f" FROM ({_share_sql(EXPECTED_SQL)}) GROUP BY 1"
-    if False else
     f"SELECT scenario_id, {SUMMARY_SQL} FROM (SELECT scenario_id, unit_share AS v FROM "
     f"({_share_sql(EXPECTED_SQL)})) GROUP BY 1",
     SUMMARY_DOUBLES,

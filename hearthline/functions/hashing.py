@@ -25,10 +25,8 @@ def sorted_entries(m: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     """JSON string literal of a text value."""
-    body = F.to_json(F.struct(text.alias("a")))
-    return F.when(text.isNull(), F.lit("null")).otherwise(
-        F.substring(body, F.lit(6), F.length(body) - 6)
-    )
+    body = F.to_json(F.array(text))
+    return F.substring(body, F.lit(2), F.length(body) - 2)
 
 
 def canonical_json(m: Column, *, compact: bool = True) -> Column:

@@ -18,11 +18,13 @@ OFFER_VALUES = (
     "offer_id", "list_price", "net_price", "discount_pct", "incentive_cash", "payment_plan_code",
     "monthly_payment_est", "offer_from", "offer_to", "offer_source",
 )
-ALTERNATIVE_COLUMNS = (
-    "alternative_id", "alternative_type", "unit_id", "product_type", "inventory_state",
-    "effective_price", "monthly_payment_est", "payment_plan_code", "commute_min",
-    "outside_option", "availability_confirmed", "offer_from", "offer_to", "offer_source",
-)
+ALTERNATIVE_TYPES = {
+    "alternative_id": "string", "alternative_type": "string", "unit_id": "string",
+    "product_type": "string", "inventory_state": "string", "effective_price": "double",
+    "monthly_payment_est": "double", "payment_plan_code": "string", "commute_min": "double",
+    "outside_option": "string", "availability_confirmed": "boolean", "offer_from": "timestamp",
+    "offer_to": "timestamp", "offer_source": "string",
+}
 
 
 def effective_price(
@@ -67,57 +69,47 @@ def scd_active_units(asofs: DataFrame, units: DataFrame, *, horizon=None) -> Dat
     )
 
 
-def scd_active_offers(points: DataFrame, offers: DataFrame, *, horizon=None) -> DataFrame:
-    """Per (unit, as_of) the active unit offer; offers made for a product type do not apply."""
-    unit_offers = offers.where(F.col("unit_id").isNotNull()).withColumns(
+def _unit_offers(offers: DataFrame) -> DataFrame:
+    """Offers for single units; offers made for a product type do not apply to choice sets."""
+    return offers.where(F.col("unit_id").isNotNull()).withColumns(
         {
             "offer_from": F.col("effective_from"),
             "offer_to": F.col("effective_to"),
             "offer_source": F.col("source_id"),
         }
     )
-    return interval_latest(
-        points, unit_offers, on=["unit_id"], at="as_of", start="effective_from",
-        end="effective_to", entity=["unit_id"], row_id="offer_id", horizon=horizon,
-        values=("effective_from", *OFFER_VALUES),
-    )
 
 
-def outside_rows(asofs: DataFrame) -> DataFrame:
-    options = F.array(
-        *[
-            F.struct(
-                F.lit(alt).alias("alternative_id"), F.lit(option).alias("outside_option")
-            )
-            for alt, option in OUTSIDE_OPTIONS
-        ]
-    )
-    return asofs.select("project_id", "as_of", F.inline(options)).withColumn(
-        "alternative_type", F.col("outside_option")
+def scd_active_offers(
+    points: DataFrame,
+    offers: DataFrame,
+    *,
+    horizon=None,
+    carry: Sequence[str] = (),
+    how: str = "inner",
+) -> DataFrame:
+    """Per (unit, as_of) the unit offer active then, with an `ambiguous` flag."""
+    return interval_latest(
+        points, _unit_offers(offers), on=["unit_id"], at="as_of", start="effective_from",
+        end="effective_to", entity=["unit_id"], row_id="offer_id", horizon=horizon,
+        values=("effective_from", *OFFER_VALUES), carry=carry, how=how,
     )
 
 
-def choice_set(
-    asofs: DataFrame, units: DataFrame, offers: DataFrame, *, outside: bool = True, horizon=None
-) -> tuple[DataFrame, DataFrame]:
-    """(choice rows, ambiguity violations) for every distinct (project_id, as_of).
-
-    Work grows with distinct questions, not with decisions: sets are built once per project and
-    instant and joined to decisions afterwards.
-    """
-    asofs = asofs.select("project_id", "as_of").distinct()
-    if horizon is None:
-        horizon = last_instant(asofs, "as_of")
-    versions = scd_active_units(asofs, units, horizon=horizon)
-    open_units = versions.where(F.col("inventory_state") == "available")
-    points = open_units.select("unit_id", "as_of").distinct()
-    active = scd_active_offers(points, offers, horizon=horizon)
-    rows = open_units.drop("ambiguous", "effective_from").join(
-        active.drop("effective_from").withColumnRenamed("ambiguous", "offer_ambiguous"),
-        ["unit_id", "as_of"],
+def _unit_sets(
+    asofs: DataFrame, units: DataFrame, offers: DataFrame, *, horizon
+) -> DataFrame:
+    """Packed unit alternatives per (project_id, as_of), with `issue` where a version or offer
+    is ambiguous. One pass: versions, then their offers, then one list per set."""
+    versions = scd_active_units(asofs, units, horizon=horizon).where(
+        (F.col("inventory_state") == "available") | F.col("ambiguous")
+    ).withColumnRenamed("ambiguous", "unit_ambiguous")
+    rows = scd_active_offers(
+        versions, offers, horizon=horizon, how="left",
+        carry=("project_id", "unit_code", "product_type", "inventory_state", "unit_ambiguous"),
     )
-    unit_rows = rows.select(
-        "project_id", "as_of",
+    open_offer = (F.col("inventory_state") == "available") & F.col("offer_id").isNotNull()
+    item = F.struct(
         F.col("unit_code").alias("alternative_id"),
         F.lit(UNIT).alias("alternative_type"),
         "unit_id", "product_type", "inventory_state",
@@ -131,38 +123,90 @@ def choice_set(
         F.lit(True).alias("availability_confirmed"),
         "offer_from", "offer_to", "offer_source",
     )
-    out = unit_rows
-    if outside:
-        out = unit_rows.unionByName(outside_rows(asofs), allowMissingColumns=True).withColumn(
-            "availability_confirmed", F.coalesce("availability_confirmed", F.lit(True))
-        )
-    ambiguous = versions.where("ambiguous").select(
-        "project_id", "as_of", "unit_id", F.lit("ambiguous_unit_version").alias("code")
-    ).unionByName(
-        rows.where("offer_ambiguous").select(
-            "project_id", "as_of", "unit_id", F.lit("ambiguous_offer").alias("code")
-        )
+    issue = F.when(F.col("unit_ambiguous"), "ambiguous_unit_version").when(
+        F.col("ambiguous"), "ambiguous_offer"
+    )
+    return rows.groupBy("project_id", "as_of").agg(
+        F.array_sort(F.collect_list(F.when(open_offer, item))).alias("alts"),
+        F.min(issue).alias("issue"),
     )
-    return out, ambiguous
 
 
-def set_order() -> Column:
-    """Sort key of an alternative inside its set: units by code, then the outside options."""
-    rank = F.lit(0)
-    for position, (alt, _) in enumerate(OUTSIDE_OPTIONS, start=1):
-        rank = F.when(F.col("alternative_id") == alt, F.lit(position)).otherwise(rank)
-    return rank
+def _outside_items() -> Column:
+    typed = {n: F.lit(None).cast(t) for n, t in ALTERNATIVE_TYPES.items()}
+    return F.array(
+        *[
+            F.struct(
+                *[
+                    c.alias(n)
+                    for n, c in {
+                        **typed,
+                        "alternative_id": F.lit(alt),
+                        "alternative_type": F.lit(option),
+                        "outside_option": F.lit(option),
+                        "availability_confirmed": F.lit(True),
+                    }.items()
+                ]
+            )
+            for alt, option in OUTSIDE_OPTIONS
+        ]
+    )
 
 
-def pack_choice_sets(rows: DataFrame, keys: Sequence[str] = ("project_id", "as_of")) -> DataFrame:
-    """One row per set with its alternatives as an ordered array.
+def _attach_sets(
+    rows: DataFrame, units: DataFrame, offers: DataFrame, *, outside: bool = True, horizon=None
+) -> DataFrame:
+    asofs = rows.select("project_id", "as_of").distinct()
+    if horizon is None:
+        horizon = last_instant(rows, "as_of")
+    packed = _unit_sets(asofs, units, offers, horizon=horizon)
+    empty = F.array().cast(packed.schema["alts"].dataType)
+    own = F.coalesce("alts", empty)
+    return rows.join(packed, ["project_id", "as_of"], "left").withColumn(
+        "alts", F.concat(own, _outside_items()) if outside else own
+    )
+
 
-    A set is what one project offers at one instant, so its size is bounded by the inventory of
-    a project and never by the number of decisions or households.
+def choice_sets(
+    asofs: DataFrame, units: DataFrame, offers: DataFrame, *, outside: bool = True, horizon=None
+) -> tuple[DataFrame, DataFrame]:
+    """(packed choice sets, ambiguity violations) of every distinct (project_id, as_of).
+
+    Work grows with distinct questions, not with decisions. The alternatives of a set are an
+    array: units by code, then the outside options. A set is what one project offers at one
+    instant, so its size is bounded by a project's inventory.
     """
-    columns = [c for c in ALTERNATIVE_COLUMNS if c in rows.columns]
-    item = F.struct(set_order().alias("alt_rank"), *columns)
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("alts"))
+    full = _attach_sets(
+        asofs.select("project_id", "as_of").distinct(), units, offers, outside=outside,
+        horizon=horizon,
+    )
+    bad = full.where(F.col("issue").isNotNull()).select(
+        "project_id", "as_of", F.col("issue").alias("code"),
+        F.col("project_id").alias("message"), F.lit("error").alias("severity"),
+    )
+    return full.drop("issue"), bad
+
+
+def choice_set(
+    asofs: DataFrame, units: DataFrame, offers: DataFrame, *, outside: bool = True, horizon=None
+) -> tuple[DataFrame, DataFrame]:
+    """(one row per alternative, ambiguity violations) of every distinct (project_id, as_of)."""
+    sets, bad = choice_sets(asofs, units, offers, outside=outside, horizon=horizon)
+    return unpack_choice_sets(sets), bad
+
+
+def pack_choice_sets(rows: DataFrame, keys: Sequence[str] = ("project_id", "as_of")) -> DataFrame:
+    """Long choice rows back to one row per set: units by code, then the outside options."""
+    columns = [c for c in ALTERNATIVE_TYPES if c in rows.columns]
+    rank = F.lit(0)
+    for position, (alt, _) in enumerate(OUTSIDE_OPTIONS, start=1):
+        rank = F.when(F.col("alternative_id") == alt, F.lit(position)).otherwise(rank)
+    ranked = F.array_sort(F.collect_list(F.struct(rank.alias("_rank"), *columns)))
+    return rows.groupBy(*keys).agg(
+        F.transform(
+            ranked, lambda a: F.named_struct(*[x for c in columns for x in (F.lit(c), a[c])])
+        ).alias("alts")
+    )
 
 
 def unpack_choice_sets(sets: DataFrame) -> DataFrame:
@@ -170,7 +214,7 @@ def unpack_choice_sets(sets: DataFrame) -> DataFrame:
     keep = [c for c in sets.columns if c != "alts"]
     return sets.select(*keep, F.posexplode("alts").alias("alt_order", "alt")).select(
         *keep, "alt_order", "alt.*"
-    ).drop("alt_rank")
+    )
 
 
 def outcome_decisions(
@@ -204,10 +248,8 @@ def attach_choice_sets(
     could not be built unambiguously. Violating decisions are not among the decisions. Sets are
     packed before they meet decisions, so alternatives are never multiplied in a shuffle.
     """
-    rows, ambiguous = choice_set(decisions, units, offers, horizon=horizon)
-    bad_sets = ambiguous.groupBy("project_id", "as_of").agg(F.min("code").alias("_code"))
-    checked = decisions.join(pack_choice_sets(rows), ["project_id", "as_of"], "left").join(
-        bad_sets, ["project_id", "as_of"], "left"
+    checked = _attach_sets(decisions, units, offers, horizon=horizon).withColumnRenamed(
+        "issue", "_code"
     )
     selected = F.col("selected_alternative_id")
     position = F.array_position(F.transform("alts", lambda a: a["alternative_id"]), selected)

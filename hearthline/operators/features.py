@@ -182,7 +182,7 @@ def travel_time_asof(
     ).distinct()
     usable = travel.where((F.col("mode") == mode) & (F.col("departure_bucket") == bucket))
     met = interval_pairs(
-        points, usable, on=on, at=at, start="valid_from", end="valid_to",
+        points, usable.drop("mode", "departure_bucket"), on=on, at=at, start="valid_from", end="valid_to",
         horizon=last_instant(points, at) if horizon is None else horizon,
     ).where(F.col("observed_at") <= F.col(at))
     rank = F.struct("observed_at", "source_id", "travel_time_min")

@@ -16,11 +16,11 @@ def artifact_content_hash(artifacts: DataFrame) -> Column:
     """Hash of an artifact row without its id and creation time."""
     names = sorted(c for c in artifacts.columns if c not in ("artifact_id", "created_at", "content_hash"))
     kinds = dict(artifacts.dtypes)
-    fields = [
-        F.array_sort(F.map_entries(n)).alias(n) if kinds[n].startswith("map") else F.col(n)
-        for n in names
-    ]
-    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+    fields = []
+    for n in names:
+        is_map = kinds[n].startswith("map")
+        fields += [F.lit(n), F.array_sort(F.map_entries(n)) if is_map else F.col(n)]
+    return F.sha2(F.to_json(F.named_struct(*fields), {"ignoreNullFields": "false"}), 256)
 
 
 def register_artifacts(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:

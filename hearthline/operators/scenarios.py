@@ -92,10 +92,11 @@ def population_classes(population: DataFrame) -> DataFrame:
     horizon = F.col("purchase_horizon_days")
     step = F.when(horizon > 180, 181).when(horizon > 90, 91).otherwise(0)
     inputs = [
-        step.alias(c) if c == "purchase_horizon_days" else F.col(c) for c in HOUSEHOLD_INPUTS
+        step if c == "purchase_horizon_days" else F.col(c) for c in HOUSEHOLD_INPUTS
     ]
     return population.withColumn(
-        "class_id", F.md5(F.to_json(F.struct("project_id", *inputs)))
+        "class_id",
+        F.md5(F.to_json(F.array("project_id", *[c.cast("string") for c in inputs]))),
     )
 
 
@@ -156,9 +157,9 @@ def score_scenarios(
         F.col("_w.parameter").alias("parameter"),
         F.transform(
             "alts",
-            lambda a: F.struct(
-                a["alternative_id"].alias("alternative_id"),
-                a["alternative_type"].alias("alternative_type"),
+            lambda a: F.named_struct(
+                F.lit("alternative_id"), a["alternative_id"],
+                F.lit("alternative_type"), a["alternative_type"],
             ),
         ).alias("alts"),
         "p",
@@ -167,12 +168,13 @@ def score_scenarios(
 
 def sampled_index(p: Column, u: Column) -> Column:
     """Position of a weighted draw: the first alternative whose running sum exceeds u."""
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
+    def state(total: Column, at: Column) -> Column:
+        return F.named_struct(F.lit("sum"), total, F.lit("at"), at)
+
     passed = F.aggregate(
-        p, zero,
-        lambda s, x: F.struct(
-            (s["sum"] + x).alias("sum"),
-            (s["at"] + F.when(s["sum"] + x <= u, 1).otherwise(0)).alias("at"),
+        p, state(F.lit(0.0), F.lit(0)),
+        lambda s, x: state(
+            s["sum"] + x, s["at"] + F.when(s["sum"] + x <= u, 1).otherwise(0)
         ),
     )["at"]
     return F.least(passed, F.size(p) - 1)

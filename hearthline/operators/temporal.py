@@ -49,6 +49,7 @@ def interval_pairs(
     end: str,
     horizon,
     bucket_days: int = 32,
+    how: str = "inner",
 ) -> DataFrame:
     """Every point with each interval of its key that is active at the point.
 
@@ -66,10 +67,14 @@ def interval_pairs(
             F.sequence(time_bucket(F.col(start), bucket_days), time_bucket(last, bucket_days))
         ),
     )
-    probe = points.select(*on, at).withColumn("_bucket", time_bucket(F.col(at), bucket_days))
-    return probe.join(cut, [*on, "_bucket"]).where(
-        active_at(F.col(at), F.col(start), F.col(end))
-    )
+    keys = [*on, "_bucket"]
+    probe = points.withColumn("_bucket", time_bucket(F.col(at), bucket_days))
+    right = cut.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                       *[c for c in cut.columns if c not in keys])
+    meet = active_at(F.col(at), F.col(start), F.col(end))
+    for k in keys:
+        meet = (F.col(k) == F.col(f"_r_{k}")) & meet
+    return probe.join(right, meet, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def interval_latest(
@@ -85,28 +90,44 @@ def interval_latest(
     values: Sequence[str],
     horizon=None,
     bucket_days: int = 32,
+    carry: Sequence[str] = (),
+    how: str = "inner",
 ) -> DataFrame:
     """For every point and entity the interval row active at the point with the latest start.
 
-    `points` is the distinct set of (on, at). `ambiguous` marks points where two different rows
+    `points` holds each (on, at) once, plus `carry` columns that go through unchanged; with
+    how="left" points without an interval stay, with null values. `ambiguous` marks points where two different rows
     share the winning start; they are told apart by two opposite maxima, not by a ranking window.
     """
     if horizon is None:
         horizon = last_instant(points, at)
+    needed = dict.fromkeys([*on, start, end, *entity, row_id, *values])
     joined = interval_pairs(
-        points, intervals, on=on, at=at, start=start, end=end, horizon=horizon,
-        bucket_days=bucket_days,
+        points.select(*on, at, *carry), intervals.select(*needed), on=on, at=at, start=start,
+        end=end, horizon=horizon, bucket_days=bucket_days, how=how,
     )
     extras = [e for e in entity if e not in on]
     rank = F.xxhash64(row_id)
     best = joined.groupBy(*on, "_bucket", at, *extras).agg(
-        F.max(F.struct(start, rank.alias("_h"), *[v for v in values if v != start])).alias("_b"),
-        F.max(F.struct(start, F.bitwise_not(rank).alias("_h"))).alias("_c"),
+        F.max(
+            F.when(
+                F.col(start).isNotNull(),
+                F.struct(start, rank.alias("_h"), *[v for v in values if v != start]),
+            )
+        ).alias("_b"),
+        F.max(
+            F.when(
+                F.col(start).isNotNull(), F.struct(start, F.bitwise_not(rank).alias("_h"))
+            )
+        ).alias("_c"),
+        *[F.max(c).alias(c) for c in carry],
     )
     return best.select(
-        *on, at, *extras,
+        *on, at, *extras, *carry,
         *[F.col(f"_b.{v}").alias(v) for v in values],
-        (F.col("_b._h") != F.bitwise_not(F.col("_c._h"))).alias("ambiguous"),
+        F.coalesce(
+            F.col("_b._h") != F.bitwise_not(F.col("_c._h")), F.lit(False)
+        ).alias("ambiguous"),
     )
 
 

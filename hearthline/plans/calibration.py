@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -26,6 +27,7 @@ from hearthline.operators.temporal import first_n_predicate
 from hearthline.operators.utility import (
     choice_probabilities, log_loss, segment_metrics, uniform_baseline,
 )
+from hearthline.schemas import OUTCOME_EVENT_TYPES
 from hearthline.plans.snapshot import read_frozen, verify_dataset
 from hearthline.session import cut_lineage
 
@@ -39,22 +41,35 @@ def build_examples(
     project: Column | None = None,
     destination: Column | None = None,
     verified_only: bool = True,
+    outcome_types: Sequence[str] = OUTCOME_EVENT_TYPES,
     horizon=None,
 ) -> tuple[DataFrame, DataFrame]:
     """(examples with typed household columns, `alts`, `chosen`; violations).
 
-    As-of features and commute ride on the narrow decision rows; the wide sets join last.
+    As-of features and commute ride on the narrow decision rows; the wide sets join last. The
+    narrow tables are checkpointed, because each of them is read by several later steps.
     """
-    decisions = outcome_decisions(events, project=project, verified_only=verified_only)
-    known = with_household(asof_features(decisions, project_features(events)))
-    if travel is not None:
-        asked = known.withColumn(
-            "destination_anchor_id",
-            destination if destination is not None else F.col("project_id"),
-        )
-        known = commute_lookup(asked, project_anchors(events), travel, horizon=horizon).drop(
-            "destination_anchor_id", "origin_anchor_id"
+    decisions = cut_lineage(
+        outcome_decisions(
+            events, project=project, verified_only=verified_only, outcome_types=outcome_types
         )
+    )
+    moments = decisions.select("household_id", "as_of").distinct()
+    known = decisions.join(
+        with_household(asof_features(moments, project_features(events))),
+        ["household_id", "as_of"], "left",
+    )
+    if travel is not None:
+        place = destination if destination is not None else F.col("project_id")
+        asked = decisions.select(
+            "household_id", "as_of", place.alias("destination_anchor_id")
+        ).distinct()
+        minutes = commute_lookup(asked, project_anchors(events), travel, horizon=horizon)
+        known = known.withColumn("destination_anchor_id", place).join(
+            minutes.drop("origin_anchor_id"),
+            ["household_id", "as_of", "destination_anchor_id"], "left",
+        ).drop("destination_anchor_id")
+    known = cut_lineage(known)
     good, violations = attach_choice_sets(known, units, offers, horizon=horizon)
     if travel is not None:
         good = set_commute(good, F.col("commute_min")).drop("commute_min")
