@@ -63,19 +63,18 @@ def pseudonymous_key(value: Column, *, namespace: str) -> Column:
     )
 
 
-def _dashed(hex32: Column) -> Column:
-    return F.regexp_replace(hex32, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+def _dashed(h: Column) -> Column:
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return F.concat_ws("-", *[F.substring(h, start, n) for start, n in cuts])
 
 
 def uuid5(name: Column, namespace: str) -> Column:
-    space = F.unhex(F.lit(namespace.replace("-", "")))
-    digest = F.sha1(F.concat(space, F.encode(name, "UTF-8")))
-    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return _dashed(
-        F.concat(
-            F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant,
-            F.substring(digest, 18, 15),
-        )
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(
+        F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"),
+        F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"),
+        F.substring(h, 21, 12),
     )
 
 
@@ -83,10 +82,11 @@ def analytics_uuid(value: Column, *, namespace: str = "default") -> Column:
     """A UUID given as text passes through; any other key becomes a stable name-based UUID."""
     text = F.trim(value)
     bare = F.regexp_replace(text, "urn:|uuid:|[{}-]", "")
-    return (
-        F.when(F.length(text) == 0, F.lit(None).cast("string"))
-        .when(bare.rlike(UUID_TEXT), _dashed(F.lower(bare)))
-        .otherwise(uuid5(F.concat(F.lit(namespace + ":"), text), ANALYTICS_NAMESPACE))
+    # a UUID takes at least 32 characters, so short keys skip the pattern
+    is_uuid = (F.length(text) >= 32) & bare.rlike(UUID_TEXT)
+    named = uuid5(F.concat(F.lit(namespace + ":"), text), ANALYTICS_NAMESPACE)
+    return F.when(
+        F.length(text) > 0, F.when(is_uuid, _dashed(F.lower(bare))).otherwise(named)
     )
 
 

@@ -18,6 +18,8 @@ OFFER_VALUES = (
     "offer_id", "list_price", "net_price", "discount_pct", "incentive_cash", "payment_plan_code",
     "monthly_payment_est", "offer_from", "offer_to", "offer_source",
 )
+# width of the time buckets of versions and offers: about the length of a typical interval
+BUCKET_DAYS = 90
 ALTERNATIVE_TYPES = {
     "alternative_id": "string", "alternative_type": "string", "unit_id": "string",
     "product_type": "string", "inventory_state": "string", "effective_price": "double",
@@ -64,7 +66,7 @@ def scd_active_units(asofs: DataFrame, units: DataFrame, *, horizon=None) -> Dat
     """Per (project, as_of) the version of every unit active then, with an `ambiguous` flag."""
     return interval_latest(
         asofs, units, on=["project_id"], at="as_of", start="effective_from", end="effective_to",
-        entity=["unit_id"], row_id="version_id", horizon=horizon,
+        entity=["unit_id"], row_id="version_id", horizon=horizon, bucket_days=BUCKET_DAYS,
         values=("effective_from", "version_id", "unit_code", "product_type", "inventory_state"),
     )
 
@@ -91,7 +93,7 @@ def scd_active_offers(
     """Per (unit, as_of) the unit offer active then, with an `ambiguous` flag."""
     return interval_latest(
         points, _unit_offers(offers), on=["unit_id"], at="as_of", start="effective_from",
-        end="effective_to", entity=["unit_id"], row_id="offer_id", horizon=horizon,
+        end="effective_to", entity=["unit_id"], row_id="offer_id", horizon=horizon, bucket_days=BUCKET_DAYS,
         values=("effective_from", *OFFER_VALUES), carry=carry, how=how,
     )
 

@@ -29,11 +29,35 @@ def _source_ref() -> Column:
 def project_features(events: DataFrame) -> DataFrame:
     """Qualification and stage events -> one row per feature value."""
     usable = F.map_filter("payload", lambda k, v: ~k.isin(*NON_MODEL_FIELDS) & v.isNotNull())
+    # identifiers are computed per event, before the fan-out
     return events.where(F.col("event_type").isin(*FEATURE_EVENT_TYPES)).select(
-        _household().alias("household_id"),
-        F.explode(usable).alias("feature_name", "value"),
-        F.col("occurred_at").alias("observed_at"),
-        _source_ref().alias("source_id"),
+        _household().alias("household_id"), usable.alias("_usable"),
+        F.col("occurred_at").alias("observed_at"), _source_ref().alias("source_id"),
+    ).select(
+        "household_id", F.explode("_usable").alias("feature_name", "value"), "observed_at",
+        "source_id",
+    )
+
+
+def feature_columns(
+    events: DataFrame, features: Sequence[str] = HOUSEHOLD_FIELDS
+) -> DataFrame:
+    """The same evidence kept wide: one row per event with an `f_<name>` struct per feature.
+
+    As-of operators take either form; the wide one moves a tenth of the rows.
+    """
+    return events.where(F.col("event_type").isin(*FEATURE_EVENT_TYPES)).select(
+        _household().alias("household_id"), F.col("occurred_at").alias("observed_at"),
+        _source_ref().alias("source_id"), "payload",
+    ).select(
+        "household_id", "observed_at",
+        *[
+            F.when(
+                F.col("payload")[f].isNotNull(),
+                F.struct("source_id", F.col("payload")[f].alias("value")),
+            ).alias(f"f_{f}")
+            for f in features
+        ],
     )
 
 
@@ -72,11 +96,14 @@ def project_anchors(events: DataFrame) -> DataFrame:
 
 def _per_instant(observations: DataFrame, features: Sequence[str]) -> DataFrame:
     """One wide row per (household, instant); ties go to the greatest (source, value)."""
-    cell = F.struct("source_id", "value")
-    return observations.where(F.col("feature_name").isin(*features)).groupBy(
-        "household_id", F.col("observed_at").alias("_t")
-    ).agg(
-        *[F.max(F.when(F.col("feature_name") == f, cell)).alias(f"f_{f}") for f in features]
+    if "feature_name" in observations.columns:
+        cell = F.struct("source_id", "value")
+        rows = observations.where(F.col("feature_name").isin(*features))
+        cells = {f: F.when(F.col("feature_name") == f, cell) for f in features}
+    else:
+        rows, cells = observations, {f: F.col(f"f_{f}") for f in features}
+    return rows.groupBy("household_id", F.col("observed_at").alias("_t")).agg(
+        *[F.max(c).alias(f"f_{f}") for f, c in cells.items()]
     )
 
 
@@ -130,13 +157,18 @@ def with_household(wide: DataFrame) -> DataFrame:
 
 def household_snapshot(events: DataFrame, *, as_of: datetime | None = None) -> DataFrame:
     """Latest typed household records, optionally as known at one time."""
-    observations = project_features(events)
+    wide = feature_columns(events)
     if as_of is not None:
-        observations = observations.where(F.col("observed_at") <= F.lit(as_of))
-    cell = F.struct("observed_at", "source_id", "value")
-    latest = observations.groupBy("household_id").agg(
+        wide = wide.where(F.col("observed_at") <= F.lit(as_of))
+    # any feature event makes a household, even one without a usable field
+    latest = wide.groupBy("household_id").agg(
         *[
-            F.max(F.when(F.col("feature_name") == f, cell)).alias(f"f_{f}")
+            F.max(
+                F.when(
+                    F.col(f"f_{f}").isNotNull(),
+                    F.struct("observed_at", f"f_{f}.source_id", f"f_{f}.value"),
+                )
+            ).alias(f"f_{f}")
             for f in HOUSEHOLD_FIELDS
         ]
     )

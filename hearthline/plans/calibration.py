@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hearthline.functions.hashing import ANALYTICS_NAMESPACE, uuid5
 from hearthline.operators.choices import attach_choice_sets, outcome_decisions, set_commute
 from hearthline.operators.features import (
-    asof_features, commute_lookup, project_anchors, project_features, with_household,
+    asof_features, commute_lookup, feature_columns, project_anchors, with_household,
 )
 from hearthline.operators.governance import artifact_content_hash
 from hearthline.operators.logit import (
@@ -56,7 +56,7 @@ def build_examples(
     )
     moments = decisions.select("household_id", "as_of").distinct()
     known = decisions.join(
-        with_household(asof_features(moments, project_features(events))),
+        with_household(asof_features(moments, feature_columns(events))),
         ["household_id", "as_of"], "left",
     )
     if travel is not None:
