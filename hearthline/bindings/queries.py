@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthline.bindings import market as mk
-from hearthline.bindings.market import Market, iso_sql, json_sql, sql, ts_sql, uniform_sql
+from hearthline.bindings.market import Market, iso_sql, json_sql, sql, ts_sql
 from hearthline.functions import hashing as hs
 from hearthline.functions import parsing as ps
 from hearthline.functions.households import household_from_features, profile_confidence
@@ -20,8 +21,9 @@ from hearthline.operators import quality, scenarios, temporal, utility
 from hearthline.operators.scenarios import Scenario
 from hearthline.plans import calibration, forecast, snapshot
 from hearthline.schemas import DEFAULT_WEIGHTS, HOUSEHOLD_FIELDS
-from hearthline.session import cut_lineage
+from hearthline.session import cut_lineage, shared_dir
 from hearthline.sources import adapters, connectors, events, ingest, tables
+from hearthline.streaming.ingest import stream_ingest
 
 QUERIES: dict[str, Callable[[Market], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -2000,8 +2002,133 @@ def _(m):
     )
 
 
+@query(
+    "prediction_from_comparison",
+    f"""SELECT d.experiment_id, s.*, p.c AS control_point_estimate,
+               p.t AS treatment_point_estimate
+        FROM definitions d, (
+          SELECT avg(t - c) AS effect_mean, quantile_cont(t - c, 0.05) AS effect_p05,
+                 quantile_cont(t - c, 0.5) AS effect_p50, quantile_cont(t - c, 0.95)
+                 AS effect_p95, count(*) AS ensemble_samples
+          FROM (SELECT parameter, max(CASE WHEN scenario_id = 'base' THEN unit_share END) AS c,
+                       max(CASE WHEN scenario_id = 'discount' THEN unit_share END) AS t
+                FROM ({_share_sql(EXPECTED_SQL)}) GROUP BY 1)) s, (
+          SELECT max(CASE WHEN scenario_id = 'base' THEN unit_share END) AS c,
+                 max(CASE WHEN scenario_id = 'discount' THEN unit_share END) AS t
+          FROM ({_share_sql(EXPECTED_SQL)}) WHERE parameter = 0) p""",
+    {"effect_mean": 8, "effect_p05": 8, "effect_p50": 8, "effect_p95": 8,
+     "control_point_estimate": 8, "treatment_point_estimate": 8},
+)
+def _(m):
+    model = forecast.Model("M0", "approved", "bench", PARAMETERS[0], PARAMETERS)
+    summary, point, _ = forecast.compare_scenarios(
+        model, m.people, m.market_sets, control=SCENARIOS[0], treatment=SCENARIOS[1],
+        mode="expected",
+    )
+    return forecast.prediction_from_comparison(
+        m.definitions, model, summary, point, control="base", treatment="discount",
+        population_version="empirical:bench", created_at=JAN_10,
+    ).select(
+        "experiment_id", "effect_mean", "effect_p05", "effect_p50", "effect_p95",
+        "ensemble_samples", "control_point_estimate", "treatment_point_estimate",
+    )
+
+
+@query(
+    "unit_share",
+    f"SELECT scenario_id, parameter, unit_share, 1 - unit_share AS outside_share "
+    f"FROM ({_share_sql(EXPECTED_SQL)})",
+    {"unit_share": 8, "outside_share": 8},
+)
+def _(m):
+    return scenarios.unit_share(_picks(m, "expected")).drop("replication")
+
+
+@query(
+    "active_at",
+    f"""SELECT project_id, count(*) AS versions, count_if(inventory_state = 'available')::BIGINT
+               AS available FROM units WHERE effective_from <= {mk.AS_OF_SQL}
+        AND (effective_to IS NULL OR {mk.AS_OF_SQL} < effective_to) GROUP BY 1""",
+)
+def _(m):
+    at = F.lit(mk.POPULATION_AS_OF)
+    active = temporal.active_at(at, F.col("effective_from"), F.col("effective_to"))
+    return m.units.where(active).groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("versions"),
+        F.count_if(F.col("inventory_state") == "available").alias("available"),
+    )
+
+
+@query(
+    "ambiguity_detection",
+    f"""SELECT project_id, {ts_sql('as_of')} AS as_of, unit_id FROM active_units
+        WHERE substr(unit_id, 2)::BIGINT % 50 = 0""",
+)
+def _(m):
+    twin = m.units.where(F.substring("unit_id", 2, 20).cast("long") % 50 == 0).withColumn(
+        "version_id", F.concat("version_id", F.lit("-twin"))
+    )
+    found = choices.scd_active_units(_asofs(m), m.units.unionByName(twin), horizon=m.horizon)
+    return found.where("ambiguous").select("project_id", "as_of", "unit_id")
+
+
+def _frozen(m: Market) -> str:
+    path = f"{shared_dir(m.spark)}/frozen-{uuid4().hex}"
+    new = _snapshots(m)
+    snapshot.freeze_dataset(
+        m.canonical, new, {"unit_versions": m.units, "offers": m.offers, "travel_times": m.travel},
+        path, version="bench",
+    )
+    return path
+
+
+MANIFEST_SQL = f"""
+    SELECT d.records AS event_count, d.digest AS event_digest,
+           (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_shipdate, l_linestatus))
+             AS snapshot_count, true AS training_ready
+    FROM ({_digest_sql(EVENT_LINE_SQL, 'canonical')}) d"""
+MANIFEST = ("event_count", "event_digest", "snapshot_count", "training_ready")
+
+
+@query("freeze_dataset", MANIFEST_SQL)
+def _(m):
+    return m.spark.read.parquet(f"{_frozen(m)}/manifest").select(*MANIFEST)
+
+
+@query("verify_dataset", MANIFEST_SQL)
+def _(m):
+    return snapshot.verify_dataset(m.spark, _frozen(m)).select(*MANIFEST)
+
+
+@query("calibration_run", None)
+def _(m):
+    done = calibration.calibration_run(
+        m.spark, _frozen(m), code_version="bench", project=m.PROJECT(),
+        destination=Market.hub(F.col("project_id")), bootstrap_samples=10,
+        diagnostic_size=1000, fail_closed=False,
+    )
+    return done.manifest.select(
+        "model_status", "historical_choices", "train_examples", "holdout_examples"
+    )
+
+
+@query(
+    "stream_ingest",
+    "SELECT event_type, count(*) AS events FROM web GROUP BY 1",
+)
+def _(m):
+    base = f"{shared_dir(m.spark)}/stream-{uuid4().hex}"
+    m.web_events.unionByName(m.web_events).write.parquet(f"{base}/in")
+    schema = m.spark.read.parquet(f"{base}/in").schema
+    stream_ingest(
+        m.spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/store",
+        source_id="web", checkpoint=f"{base}/checkpoint",
+    ).awaitTermination()
+    return ingest.event_store(m.spark, f"{base}/store").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events")
+    )
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES[name](Market(spark, sf_dir))
 
-
-_ = uniform_sql
