@@ -664,10 +664,12 @@ def _(m):
     f"SELECT c_custkey, {HH('c_name')} AS household_id FROM customer",
 )
 def _(m):
-    name = hs.analytics_uuid(F.col("c_name"), namespace="household")
+    first = m.table("customer").select(
+        "c_custkey", hs.analytics_uuid(F.col("c_name"), namespace="household").alias("u")
+    )
     # an identifier that already is a UUID passes through
-    return m.table("customer").select(
-        "c_custkey", hs.analytics_uuid(name, namespace="other").alias("household_id")
+    return first.select(
+        "c_custkey", hs.analytics_uuid(F.col("u"), namespace="other").alias("household_id")
     )
 
 
@@ -971,7 +973,7 @@ def _(m):
 )
 def _(m):
     d = choices.outcome_decisions(m.outcome_events, project=m.PROJECT())
-    wide = features.asof_features(d, features.project_features(m.household_events))
+    wide = features.asof_features(d, features.feature_columns(m.household_events))
     return features.feature_rows(wide, ["decision_id"])
 
 

@@ -85,9 +85,10 @@ def analytics_uuid(value: Column, *, namespace: str = "default") -> Column:
     # a UUID takes at least 32 characters, so short keys skip the pattern
     is_uuid = (F.length(text) >= 32) & bare.rlike(UUID_TEXT)
     named = uuid5(F.concat(F.lit(namespace + ":"), text), ANALYTICS_NAMESPACE)
-    return F.when(
-        F.length(text) > 0, F.when(is_uuid, _dashed(F.lower(bare))).otherwise(named)
-    )
+    # both candidates stand in an array: what is always evaluated shares one digest
+    pair = F.array(named, F.when(is_uuid, _dashed(F.lower(bare))))
+    at = F.when(F.length(text) > 0, F.when(is_uuid, 1).otherwise(0))
+    return F.get(pair, at)
 
 
 def uniform(*parts: Column | str | int) -> Column:

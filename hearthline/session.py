@@ -13,6 +13,11 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # the JVM never compiles methods above 8,000 bytes, so operators that would generate one run
+    # with split methods instead
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # rows here are heavy to compute (hashes, sets), so keep many small partitions over few
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
     # joins whose measured build partitions are small need no sort
     spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
     return spark
