@@ -12,67 +12,69 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import encoder
 
 
-def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Karmarkar-Karp: partition items into k sets with near-equal sums; returns the items' numbers per set.
+def differencing(sizes: list[int], k: int) -> tuple[int, list[list[int]]]:
+    """Karmarkar-Karp: partition items into k sets with near-equal sums; the largest sum and the item numbers per set.
 
     Every item starts as a partial partition of its own. The two partial partitions with the largest imbalance are
-    merged, the fullest sets of one with the emptiest of the other, until one is left.
+    merged, the fullest sets of one with the emptiest of the other, until one is left. Merges are noted and the sets
+    read off at the end, from the last merge down.
     """
-    if k == 1:
-        return [list(range(len(sizes)))]
-    heap = []
+    n = len(sizes)
+    if not n:
+        return 0, [[] for _ in range(k)]
+    sums = {}
     for i, size in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = size
-        heap.append((-size, i, sums, [(i,)] + [()] * (k - 1)))
+        sums[i] = np.zeros(k, np.int64)
+        sums[i][0] = size
+    heap = [(-size, i) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    tie = len(sizes)
-    while len(heap) > 1:
-        _, _, a, left = heapq.heappop(heap)
-        _, _, b, right = heapq.heappop(heap)
-        sums = a + b[::-1]  # both descend, so imbalances oppose
-        order = np.argsort(-sums, kind="stable")
-        sets = [(x, y) if x and y else x or y for x, y in zip(left, reversed(right))]
-        sums = sums[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), tie, sums, [sets[j] for j in order.tolist()]))
-        tie += 1
-    return [_leaves(x) for x in heap[0][3]] if heap else [[] for _ in range(k)]
-
-
-def _leaves(tree: tuple) -> list[int]:
-    """Item numbers of a nested pair tree, without recursion."""
-    out, stack = [], [tree]
-    while stack:
-        x = stack.pop()
-        if not isinstance(x, tuple):
-            out.append(x)
-        else:
-            stack.extend(reversed(x))
-    return out
-
-
-def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Fewest windows that differencing fills without exceeding the capacity: the count rises until it fits."""
+    merges = []
+    for name in range(n, 2 * n - 1):
+        _, a = heapq.heappop(heap)
+        _, b = heapq.heappop(heap)
+        both = sums.pop(a) + sums.pop(b)[::-1]  # both descend, so imbalances oppose
+        order = np.argsort(-both, kind="stable")
+        both = both[order]
+        sums[name] = both
+        merges.append((a, b, order))
+        heapq.heappush(heap, (int(both[-1] - both[0]), name))
+    place = {2 * n - 2: np.arange(k)}
+    for name in range(2 * n - 2, n - 1, -1):
+        a, b, order = merges[name - n]
+        at = np.empty(k, np.int64)
+        at[order] = place.pop(name)
+        place[a], place[b] = at, at[::-1]
+    sets = [[] for _ in range(k)]
+    for i in range(n):
+        sets[int(place[i][0])].append(i)
+    return int(sums[2 * n - 2][0]), sets
+
+
+def windows(sizes: list[int], capacity: int, most: int | None = None) -> list[list[int]] | None:
+    """Fewest windows that differencing fills without exceeding the capacity: the count rises until it fits. None if
+    that takes more than `most`."""
     k = max(1, -(-sum(sizes) // capacity))
-    while True:
-        found = differencing(sizes, k)
-        if all(sum(sizes[i] for i in x) <= capacity for x in found):
+    while most is None or k <= most:
+        largest, found = differencing(sizes, k)
+        if largest <= capacity:
             return [x for x in found if x]
         k += 1
+    return None
 
 
 def pack_group(lengths: list[int], capacity: int, tolerance: float) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start in it, length). Items are whole at first; if padding exceeds the tolerance, they are cut
-    at half the size and packed again, down to a sixteenth of the capacity. The best packing found is returned."""
-    total, best, grain = sum(lengths), None, capacity
-    while grain >= max(1, capacity // 16):
+    at half the size and packed again, down to a sixteenth of the capacity, where any number of windows will do."""
+    total, grain = sum(lengths), capacity
+    wanted = (total + max(int(tolerance * total), capacity - 1)) // capacity
+    while True:
         pieces = [(i, a, min(grain, n - a)) for i, n in enumerate(lengths) for a in range(0, n, grain)]
-        found = windows([p[2] for p in pieces], capacity)
-        if best is None or len(found) < len(best):
-            best = [[pieces[j] for j in w] for w in found]
-        if len(best) * capacity - total <= max(tolerance * total, capacity - 1):
+        finest = grain <= max(1, capacity // 16)
+        found = windows([p[2] for p in pieces], capacity, None if finest else wanted)
+        if found is not None:
             break
         grain //= 2
+    best = [[pieces[j] for j in w] for w in found]
     return [_joined(w) for w in best]
 
 
