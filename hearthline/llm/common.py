@@ -84,7 +84,7 @@ class Encoder:
     PLAIN = re.compile(f" ?[{LETTERS}0-9{MARKS}]+(?:\n[{LETTERS}0-9{MARKS}]+)*")
     RUNS = re.compile(f" ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n")
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 700_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
