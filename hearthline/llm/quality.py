@@ -118,13 +118,14 @@ def fit(
     prior = (total.p + 1) / (total.p + total.z + 2)
     if not total.p:
         return Model(np.zeros(FEATURES), np.ones(FEATURES), None, prior)
-    place = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
     limit = lambda most, n: int(min(1.0, most / max(n, 1)) * (1 << 30))
-    picked = marked.select(
-        "id", ((F.col("q") == 1) & (place < limit(max_positive, total.p))).alias("positive"),
-        (F.pmod(F.xxhash64("id", F.lit(12)), F.lit(1 << 30)) < limit(max_unlabelled, total.n)).alias("unlabelled"),
-    ).where("positive or unlabelled")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).join(picked, "id")
+    drawn = lambda salt, most, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) < limit(most, n)
+    as_positive, as_unlabelled = drawn(11, max_positive, total.p), drawn(12, max_unlabelled, total.n)
+    picked = marked.select("id", ((F.col("q") == 1) & as_positive).alias("positive"), as_unlabelled.alias("unlabelled"))
+    picked = picked.where("positive or unlabelled")
+    # the draw depends on the id alone, so texts outside it never reach the shuffle
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
+    rows = rows.where(learnable(F.col("id")) & (as_positive | as_unlabelled)).join(picked, "id")
     rows = rows.select("id", F.coalesce("positive", F.lit(False)).alias("p"), F.col("unlabelled").alias("u"), _features(F.col("t")).alias("x"))
     found = rows.orderBy("id").select("p", "u", "x.x").toArrow()  # bounded by the two parameters
     x = np.array(found["x"].combine_chunks().flatten()).reshape(-1, FEATURES) if found.num_rows else np.zeros((0, FEATURES))
