@@ -127,7 +127,7 @@ def fit(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t"))
     rows = rows.where(learnable(F.col("id")) & (as_positive | as_unlabelled)).join(picked, "id")
     rows = rows.select("id", F.coalesce("positive", F.lit(False)).alias("p"), F.col("unlabelled").alias("u"), _features(F.col("t")).alias("x"))
-    found = rows.orderBy("id").select("p", "u", "x.x").toArrow()  # bounded by the two parameters
+    found = rows.select("id", "p", "u", "x.x").toArrow().sort_by("id")  # bounded by the two parameters
     x = np.array(found["x"].combine_chunks().flatten()).reshape(-1, FEATURES) if found.num_rows else np.zeros((0, FEATURES))
     p, u = np.array(found["p"].to_pylist(), bool), np.array(found["u"].to_pylist(), bool)
     if not p.any() or not u.any():
