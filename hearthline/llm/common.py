@@ -84,7 +84,7 @@ class Encoder:
     PLAIN = re.compile(f" ?[{LETTERS}0-9{MARKS}]+(?:\n[{LETTERS}0-9{MARKS}]+)*")
     RUNS = re.compile(f" ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n")
 
-    def __init__(self, path: str, entries: int = 700_000):
+    def __init__(self, path: str, entries: int = 200_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -137,17 +137,17 @@ class Encoder:
         return self._piece(head) + b"".join(map(known.__getitem__, pieces))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary file, so that reused workers keep their cache."""
+def encoder(path: str, entries: int) -> Encoder:
+    """One encoder per worker process, vocabulary file and cache size, so that reused workers keep their cache."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, entries) not in _ENCODERS:
+        _ENCODERS[path, entries] = Encoder(path, entries)
+    return _ENCODERS[path, entries]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

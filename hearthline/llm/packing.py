@@ -94,7 +94,7 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 def pack(
     docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group: int = 256, tolerance: float = 0.01,
-    id_col: str = "doc_id", text: str = "text",
+    id_col: str = "doc_id", text: str = "text", cache: int = 700_000,
 ) -> DataFrame:
     """Cut and pack all documents; one row per piece with its ids (little-endian u32).
 
@@ -102,13 +102,13 @@ def pack(
     packed by differencing. Groups are runs of rows within a task, so nothing is shuffled and memory is bounded by one
     group; the sequence number is the task's number times 2^33 plus a count. A retried task repeats its pieces exactly.
     Null and empty texts are one piece holding the end id; repeated rows are packed each by itself; an empty table gives
-    no piece; other columns are left out.
+    no piece; other columns are left out. `cache` bounds the word pieces that a worker keeps (some 200 bytes each).
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        known, number = encoder(tokenizer), TaskContext.get().partitionId() << 33
+        known, number = encoder(tokenizer, cache), TaskContext.get().partitionId() << 33
         rows, waiting = [], []
 
         def flush():

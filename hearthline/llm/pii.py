@@ -212,9 +212,9 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str, total: int, alpha:
 
 def sanitise(
     docs: DataFrame, text: str = "text", window: int = 5, alpha: float = 1.25, support: int = 3, out: str = "pii",
-    keep_text: bool = False,
+    keep_text: bool = False, redacted: bool = False,
 ) -> DataFrame:
-    """All columns of `docs` but the text (unless `keep_text`), and the struct `out` with entities and terms: (start,
+    """All columns of `docs` but the text (unless `keep_text`; then `redacted` cleans it), and the struct `out` with entities and terms: (start,
     end, action) of revealing terms, action being generalise or remove.
 
     Null and empty texts have no spans; texts are read whole; a repeated row counts as a document of its own; an empty
@@ -240,7 +240,10 @@ def sanitise(
     spans = acts.groupBy(row, "start", "end").agg(F.max("action").alias("action"))  # the stronger of two
     spans = spans.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias(terms))
     result = F.struct(F.col(f"{out}.entities").alias("entities"), F.coalesce(terms, none).alias("terms"))
-    return clean.unionAll(held.join(spans, row, "left").withColumn(out, result).drop(row, terms))
+    marked = held.join(spans, row, "left").withColumn(out, result).drop(row, terms)
+    if keep_text and redacted:  # only these rows have anything to clean
+        marked = marked.withColumn(text, redact(F.col(text), F.col(out)))
+    return clean.unionAll(marked)
 
 
 def redact(text, spans):

@@ -134,7 +134,7 @@ def _open(uri: str):
 
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text: str = "text",
-    frame_ids: int = FRAME_IDS,
+    frame_ids: int = FRAME_IDS, cache: int = 700_000,
 ) -> DataFrame:
     """Encode every whole text, append `end_id`, and write one file per range of ids, ascending.
 
@@ -148,7 +148,7 @@ def write_token_files(
     fs.create_dir(path, recursive=True)
 
     def write(batches):
-        known, writer, stream = encoder(tokenizer), None, None
+        known, writer, stream = encoder(tokenizer, cache), None, None
         width = 2 if known.vocabulary <= 1 << 16 and end_id < 1 << 16 else 4
         name = f"{folder}/{uuid.uuid4().hex}.tok"
         n = 0
