@@ -104,4 +104,96 @@ QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_lm_score, op3_token_files, op4_quality, op5_host_rules, op6_packing, op7_decontamination, op8_pii,
     op9_simhash, op10_url_filter, pipeline,
 )}
-ORACLES: dict[str, str] = {}
+
+def _url_sql(depth: int = 4) -> str:
+    """The URL filter in SQL: one common table expression per level of the template tree."""
+    rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    case = lambda pick: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{pick(v, h, p)}'" for v, h, p in rules) + " END"
+    steps = [f"""
+      parsed AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                   '{url_filter.UPPER}', '{url_filter.LOWERED}') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+      ruled AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS base,
+                  regexp_replace(path, '[0-9]+', '*', 'g') AS shape FROM parsed),
+      shapes AS (SELECT host, shape, count(*) AS n, count_if(base = 'block')::BIGINT AS bad,
+                   count_if(base = 'allow')::BIGINT AS good FROM ruled GROUP BY 1, 2),
+      prior AS (SELECT (coalesce(sum(bad), 0) + 1)::DOUBLE / (coalesce(sum(bad), 0) + coalesce(sum(good), 0) + 2) AS p FROM shapes),
+      tree0 AS (SELECT *, string_split(regexp_replace(shape, '^/', ''), '/') AS whole,
+                  CASE WHEN len(whole) <= {depth} THEN whole ELSE
+                    list_append(whole[1:{depth - 1}], array_to_string(whole[{depth}:], '/')) END AS parts, '' AS node FROM shapes)"""]
+    for k in range(depth):
+        similar = """CASE WHEN bad + good = 0 AND bad0 + good0 = 0 THEN true WHEN bad + good = 0 OR bad0 + good0 = 0 THEN false
+          ELSE (bad::DOUBLE / (bad + good) - bad0::DOUBLE / (bad0 + good0)) * (bad::DOUBLE / (bad + good) - bad0::DOUBLE / (bad0 + good0))
+            <= 3.84::DOUBLE * ((bad + bad0)::DOUBLE / (bad + good + bad0 + good0))
+               * (1 - (bad + bad0)::DOUBLE / (bad + good + bad0 + good0)) * (1::DOUBLE / (bad + good) + 1::DOUBLE / (bad0 + good0)) END"""
+        steps.append(f"""
+      child{k} AS (SELECT host, node, parts[{k + 1}] AS part, sum(n) AS n, sum(bad) AS bad, sum(good) AS good
+                   FROM tree{k} WHERE len(parts) > {k} GROUP BY 1, 2, 3),
+      wide{k} AS (SELECT host, node FROM child{k} GROUP BY 1, 2 HAVING count(*) >= 20 AND sum(n) < 3 * count(*)),
+      given{k} AS (SELECT c.*, CASE WHEN w.host IS NOT NULL THEN '*' ELSE part END AS name
+                   FROM child{k} c LEFT JOIN wide{k} w USING (host, node)),
+      named{k} AS (SELECT host, node, name, sum(bad) AS bad, sum(good) AS good,
+                     CASE WHEN sum(bad) + sum(good) > 0 THEN sum(bad)::DOUBLE / (sum(bad) + sum(good)) ELSE -1 END AS share
+                   FROM given{k} GROUP BY 1, 2, 3),
+      lagged{k} AS (SELECT *, lag(bad) OVER w AS bad0, lag(good) OVER w AS good0 FROM named{k}
+                    WINDOW w AS (PARTITION BY host, node ORDER BY share, name)),
+      branch{k} AS (SELECT *, sum(CASE WHEN bad0 IS NOT NULL AND {similar} THEN 0 ELSE 1 END)
+                      OVER (PARTITION BY host, node ORDER BY share, name ROWS UNBOUNDED PRECEDING) AS branch FROM lagged{k}),
+      label{k} AS (SELECT host, node, branch, min(name) || CASE WHEN count(*) > 1 THEN '+' || (count(*) - 1) ELSE '' END AS label
+                   FROM branch{k} GROUP BY 1, 2, 3),
+      tree{k + 1} AS (SELECT t.* EXCLUDE (node), CASE WHEN len(parts) > {k} THEN t.node || '/' || l.label ELSE t.node END AS node
+                      FROM tree{k} t LEFT JOIN given{k} g ON g.host = t.host AND g.node = t.node AND g.part = t.parts[{k + 1}]
+                      LEFT JOIN branch{k} b ON b.host = g.host AND b.node = g.node AND b.name = g.name
+                      LEFT JOIN label{k} l ON l.host = b.host AND l.node = b.node AND l.branch = b.branch)""")
+    return "WITH " + ",".join(steps) + f""",
+      leaf AS (SELECT host, node, sum(bad) AS bad, sum(good) AS good FROM tree{depth} GROUP BY 1, 2),
+      judged AS (SELECT t.host, t.shape, CASE WHEN (l.bad + 4::DOUBLE * p) / (l.bad + l.good + 4::DOUBLE) >= 0.8::DOUBLE
+                   THEN 'block' ELSE 'allow' END AS verdict FROM tree{depth} t JOIN leaf l USING (host, node), prior)
+    SELECT page_id, host, path, rule, coalesce(base, j.verdict) AS verdict FROM ruled JOIN judged j USING (host, shape)"""
+
+
+UPPER, LOWER = url_filter.UPPER, url_filter.LOWERED
+HOST_RULES_SQL = r"""
+    WITH cut AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+        row_number() OVER () AS r FROM documents),
+      win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS v FROM
+        (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM cut)),
+      again AS (SELECT r, i FROM win JOIN (SELECT r, v FROM win GROUP BY 1, 2 HAVING count(*) > 1) USING (r, v)),
+      rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS k FROM again) GROUP BY 1),
+      m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+        len(l) AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM cut LEFT JOIN rep USING (r)),
+      f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 50 * n_lines
+          OR word_chars < 2 * n_words OR word_chars > 14 * n_words AS failed FROM m),
+      h AS (SELECT source, count(*) AS n, count_if(failed) AS k FROM f GROUP BY 1),
+      s AS (SELECT least(greatest(avg(k / n), 1e-3), 1 - 1e-3) AS mean, coalesce(var_samp(k / n), 0) AS var, avg(1 / n) AS noise FROM h),
+      p AS (SELECT mean, CASE WHEN var - mean * (1 - mean) * noise <= 0 THEN 1000
+        ELSE least(greatest(mean * (1 - mean) / (var - mean * (1 - mean) * noise) - 1, 2), 1000) END AS weight FROM s),
+      v AS (SELECT source, (k + mean * weight) / (n + weight) >= 0.5 AS rejected FROM h, p)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND NOT rejected AS kept
+    FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATION_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+      b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+      bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS v FROM
+        (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+      sizes AS (SELECT DISTINCT k FROM bw),
+      dw AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS v FROM
+        (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+      hit AS (SELECT r, k, i, item_id FROM dw JOIN bw USING (k, v)),
+      n AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hit) GROUP BY 1),
+      items AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM
+        (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+      sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)"""
+
+#: The others have no twin: trained models, XXH64, a tokenizer, hundreds of regular expressions or corpus disclosure.
+ORACLES: dict[str, str] = {
+    "op5_host_rules": HOST_RULES_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op10_url_filter": _url_sql(),
+}
