@@ -969,7 +969,7 @@ def _(m):
 @query(
     "asof_features",
     """SELECT decision_id, feature_name, best[3] AS value, best[2] AS source_id
-       FROM latest_obs WHERE feature_name <> 'stage'""",
+       FROM latest_obs""",
 )
 def _(m):
     d = choices.outcome_decisions(m.outcome_events, project=m.PROJECT())
@@ -1144,7 +1144,7 @@ def _(m):
                 WHEN 'continue_renting' THEN CASE WHEN horizon_days > 180 THEN 0.12 ELSE 0 END
                 WHEN 'postponed' THEN CASE WHEN horizon_days > 90 THEN 0.18 ELSE -0.05 END
                 WHEN 'no_purchase' THEN -0.10 ELSE 0 END AS u FROM u_rows""",
-    {"u": 8},
+    {"u": 6},
 )
 def _(m):
     rows = choices.unpack_choice_sets(
@@ -1640,11 +1640,13 @@ def _(m):
 @query(
     "validate_predictions",
     """SELECT p.experiment_id, CASE WHEN extract(day FROM created_at) % 4 = 0 THEN 'rejected'
-                WHEN o.experiment_id IS NOT NULL THEN 'rejected' ELSE 'locked' END AS status,
+                WHEN o.experiment_id IS NOT NULL OR later THEN 'rejected' ELSE 'locked' END AS status,
               CASE WHEN extract(day FROM created_at) % 4 = 0 THEN 'metric mismatch'
                 WHEN o.experiment_id IS NOT NULL
-                THEN 'first observation or assignment precedes the lock' END AS reason
-       FROM predictions p LEFT JOIN (SELECT DISTINCT experiment_id FROM observations
+                THEN 'first observation or assignment precedes the lock'
+                WHEN later THEN 'already locked and immutable' END AS reason
+       FROM (SELECT *, false AS later FROM predictions
+             UNION ALL SELECT *, true FROM predictions) p LEFT JOIN (SELECT DISTINCT experiment_id FROM observations
          WHERE successes >= 4) o USING (experiment_id)""",
 )
 def _(m):
@@ -1652,9 +1654,14 @@ def _(m):
         "metric_name",
         F.when(F.dayofmonth("created_at") % 4 == 0, "other").otherwise(F.col("metric_name")),
     )
+    # a second, different forecast of every experiment a minute later
+    second = spoiled.withColumns({
+        "created_at": F.col("created_at") + F.expr("INTERVAL 1 MINUTE"),
+        "ensemble_samples": F.col("ensemble_samples") + 1,
+    })
     seen = m.observations.where(F.col("successes") >= 4)
     return experiments.validate_predictions(
-        spoiled, m.definitions, observations=seen
+        spoiled.unionByName(second), m.definitions, observations=seen
     ).select("experiment_id", "status", "reason")
 
 
@@ -1931,10 +1938,12 @@ def _(m):
 
 @query(
     "current_model_status",
-    """SELECT a.artifact_id, coalesce(max(row(g.seq, g.status))[2], 'candidate') AS status,
+    f"""SELECT a.artifact_id, coalesce(max(row(g.seq, g.status))[2], 'candidate') AS status,
               max(g.seq) AS last_seq
        FROM (SELECT DISTINCT 'A' || user_id AS artifact_id FROM events
-             WHERE user_id % 10 <> 9) a LEFT JOIN gov g USING (artifact_id) GROUP BY 1""",
+             WHERE user_id % 10 <> 9) a
+       LEFT JOIN (SELECT * FROM ({GOV_PATH_SQL}) WHERE accepted) g USING (artifact_id)
+       GROUP BY 1""",
 )
 def _(m):
     return governance.current_model_status(m.artifacts, m.governance).select(

@@ -284,7 +284,12 @@ def historical_decisions(
     outcome_types: Sequence[str] = OUTCOME_EVENT_TYPES,
     horizon=None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Outcome events -> (decisions with their choice sets, violations)."""
+    """Outcome events -> (decisions with their choice sets, violations).
+
+    Without `project` there is no project key: every decision may choose among all units.
+    """
+    if project is None:
+        units = units.withColumn("project_id", F.lit("default"))
     decisions = outcome_decisions(
         events, project=project, verified_only=verified_only, outcome_types=outcome_types
     )

@@ -64,7 +64,8 @@ def validate_predictions(
     """Predictions with `status` (locked / already_locked / rejected) and `reason`.
 
     A forecast can only be locked for a known experiment, for its metric, before any receipt or
-    observation, and never be replaced by a different one.
+    observation, and never be replaced by a different one. Within a batch the earliest valid
+    forecast of an experiment is the one that locks.
     """
     c = F.col
     rows = new.join(
@@ -106,10 +107,19 @@ def validate_predictions(
              c("_locked").isNotNull() & (c("_locked") != c("_mark"))),
         ]
     )
-    return rows.withColumn("reason", reason).withColumn(
+    rows = rows.withColumn("reason", reason)
+    when = c("created_at") if "created_at" in new.columns else F.lit(None).cast("timestamp")
+    entry = F.struct(when.alias("at"), c("_mark").alias("mark"))
+    first = rows.where(c("reason").isNull()).groupBy("experiment_id").agg(F.min(entry).alias("_first"))
+    rows = rows.join(first, "experiment_id", "left")
+    late = c("reason").isNull() & (c("_first.mark") != c("_mark"))
+    return rows.withColumn(
+        "reason", F.when(late, "already locked and immutable").otherwise(c("reason"))
+    ).withColumn(
         "status",
         F.when(c("reason").isNotNull(), "rejected")
-        .when(c("_locked").isNotNull(), "already_locked").otherwise("locked"),
+        .when(c("_locked").isNotNull() | (c("_first") != entry), "already_locked")
+        .otherwise("locked"),
     ).select(*new.columns, "status", "reason")
 
 
@@ -119,7 +129,7 @@ def _with_rules(new: DataFrame, definitions: DataFrame, predictions: DataFrame)
         F.array("control_variant", "treatment_variant").alias("_variants"),
         F.col("planned_start_at").alias("_from"), F.col("planned_end_at").alias("_to"),
     )
-    locks = predictions.select("experiment_id", F.col("created_at").alias("_locked_at"))
+    locks = predictions.groupBy("experiment_id").agg(F.min("created_at").alias("_locked_at"))
     return new.join(rules, "experiment_id", "left").join(locks, "experiment_id", "left")
 
 

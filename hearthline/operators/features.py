@@ -39,13 +39,18 @@ def project_features(events: DataFrame) -> DataFrame:
     )
 
 
-def feature_columns(
-    events: DataFrame, features: Sequence[str] = HOUSEHOLD_FIELDS
-) -> DataFrame:
+def feature_columns(events: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """The same evidence kept wide: one row per event with an `f_<name>` struct per feature.
 
-    As-of operators take either form; the wide one moves a tenth of the rows.
+    As-of operators take either form; the wide one moves a tenth of the rows. Without `features`
+    all names that occur are kept; they are found by one aggregate, a row per name.
     """
+    if features is None:
+        usable = F.map_filter("payload", lambda k, v: ~k.isin(*NON_MODEL_FIELDS) & v.isNotNull())
+        names = events.where(F.col("event_type").isin(*FEATURE_EVENT_TYPES)).select(
+            F.explode(F.map_keys(usable)).alias("name")
+        ).distinct()
+        features = sorted(r["name"] for r in names.collect())
     return events.where(F.col("event_type").isin(*FEATURE_EVENT_TYPES)).select(
         _household().alias("household_id"), F.col("occurred_at").alias("observed_at"),
         _source_ref().alias("source_id"), "payload",
@@ -111,12 +116,18 @@ def asof_features(
     decisions: DataFrame,
     observations: DataFrame,
     *,
-    features: Sequence[str] = HOUSEHOLD_FIELDS,
+    features: Sequence[str] | None = None,
     at: str = "as_of",
     bucket_days: int = 32,
 ) -> DataFrame:
     """Decisions plus one `f_<name>` struct (source_id, value) per feature, nothing later than
-    the decision. All features ride in one pass over (household, time)."""
+    the decision. All features ride in one pass over (household, time). Without `features` every
+    name in the observations is kept."""
+    if features is None and "feature_name" in observations.columns:
+        names = observations.select("feature_name").where("feature_name is not null").distinct()
+        features = sorted(r["feature_name"] for r in names.collect())
+    elif features is None:
+        features = [c[2:] for c in observations.columns if c.startswith("f_")]
     columns = [f"f_{f}" for f in features]
     points = decisions.select("household_id", F.col(at).alias("_t")).distinct()
     filled = asof_fill(
@@ -157,7 +168,7 @@ def with_household(wide: DataFrame) -> DataFrame:
 
 def household_snapshot(events: DataFrame, *, as_of: datetime | None = None) -> DataFrame:
     """Latest typed household records, optionally as known at one time."""
-    wide = feature_columns(events)
+    wide = feature_columns(events, HOUSEHOLD_FIELDS)
     if as_of is not None:
         wide = wide.where(F.col("observed_at") <= F.lit(as_of))
     # any feature event makes a household, even one without a usable field

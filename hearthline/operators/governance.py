@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from hearthline.functions.parsing import filled
 from hearthline.schemas import ALLOWED_TRANSITIONS
 
-# Fixed value: the longest allowed path has three decisions.
-MAX_STEPS = 3
+
+def _longest(status: str) -> int:
+    """Decisions on the longest path of the transition table from a status on."""
+    return max((1 + _longest(nxt) for nxt in ALLOWED_TRANSITIONS.get(status, ())), default=0)
+
+
+MAX_STEPS = _longest("candidate")
 
 
 def artifact_content_hash(artifacts: DataFrame) -> Column:
@@ -112,10 +117,10 @@ def validate_model_decisions(decisions: DataFrame, artifacts: DataFrame) -> Data
 
 
 def current_model_status(artifacts: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Artifacts with the status of their last decision in append order, else candidate."""
-    last = decisions.groupBy("artifact_id").agg(
-        F.max(F.struct("seq", "status")).alias("_last")
-    )
+    """Artifacts with the status of their last accepted decision, else candidate; refused
+    decisions change nothing."""
+    steps = [F.col(f"s{step}") for step in range(MAX_STEPS, 0, -1)]
+    last = accepted_path(decisions).select("artifact_id", F.coalesce(*steps).alias("_last"))
     return artifacts.join(last, "artifact_id", "left").select(
         *artifacts.columns,
         F.coalesce("_last.status", F.lit("candidate")).alias("status"),

@@ -7,6 +7,7 @@ back to the driver is (replicates x 46) numbers, whatever the size of the data.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -200,7 +201,8 @@ def _newton(sets, start, reps, *, l2, tol, max_iter, scheme, seed):
             ridge = max(l2, 1e-12)
             step[i] = np.linalg.solve(_hessian(row) / n + ridge * np.eye(K), gradient)
             weights[i] = base[i] + step[i]
-    return weights, epochs, done, losses
+    # a step that was never evaluated is not returned: the losses are those of `base`
+    return base, epochs, done, losses
 
 
 def logit_fit(
@@ -295,10 +297,12 @@ def bootstrap_fit(
 
         sets = cut_lineage(exact_counts(sets, replicates, seed=seed, n=sets.count()))
     start = np.array([float((init or DEFAULT_WEIGHTS)[n]) for n in FEATURES])
-    w, *_ = _newton(
+    w, _, done, _ = _newton(
         sets, start, list(range(replicates)), l2=l2, tol=tol, max_iter=max_iter, scheme=scheme,
         seed=seed,
     )
+    if not done.all():
+        warnings.warn(f"{int((~done).sum())} of {replicates} replicates did not converge", stacklevel=2)
     return [dict(zip(FEATURES, map(float, row), strict=True)) for row in w]
 
 

@@ -27,7 +27,7 @@ from hearthline.operators.temporal import first_n_predicate
 from hearthline.operators.utility import (
     choice_probabilities, log_loss, segment_metrics, uniform_baseline,
 )
-from hearthline.schemas import OUTCOME_EVENT_TYPES
+from hearthline.schemas import HOUSEHOLD_FIELDS, OUTCOME_EVENT_TYPES
 from hearthline.plans.snapshot import read_frozen, verify_dataset
 from hearthline.session import cut_lineage
 
@@ -49,6 +49,8 @@ def build_examples(
     As-of features and commute ride on the narrow decision rows; the wide sets join last. The
     narrow tables are checkpointed, because each of them is read by several later steps.
     """
+    if project is None:  # no project key: all units are open to every decision
+        units = units.withColumn("project_id", F.lit("default"))
     decisions = cut_lineage(
         outcome_decisions(
             events, project=project, verified_only=verified_only, outcome_types=outcome_types
@@ -56,7 +58,7 @@ def build_examples(
     )
     moments = decisions.select("household_id", "as_of").distinct()
     known = decisions.join(
-        with_household(asof_features(moments, feature_columns(events))),
+        with_household(asof_features(moments, feature_columns(events, HOUSEHOLD_FIELDS))),
         ["household_id", "as_of"], "left",
     )
     if travel is not None:

@@ -116,7 +116,10 @@ def sales_capture_to_events(raw: DataFrame, *, source_id: str) -> tuple[DataFram
 
 
 def iso(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    """ISO text with the zone; microseconds are shown where there are any."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    fine = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return F.when(F.unix_micros(ts) % 1_000_000 != 0, fine).otherwise(whole)
 
 
 UNIT_PAYLOAD = (

@@ -123,34 +123,44 @@ def file_snapshots(
     metadata: dict[str, str] | None = None,
     header: bool = True,
     by_line: bool = False,
+    quoted: bool = True,
 ) -> DataFrame:
-    """One snapshot row per source file: content hash and record count.
+    """One snapshot row per source file: content hash and record count; empty files have 0 records.
 
     `by_line` replaces the byte hash by an order-free digest of the lines, for files too large
-    to hold in one row.
+    to hold in one row. Records are CSV records, so quoted newlines do not count; `quoted=False`
+    counts the lines that are not blank.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    parts = multiset_digest(F.sha2("value", 256))
-    per_file = lines.where(F.length(F.trim("value")) > 0).groupBy("file").agg(
-        F.count(F.lit(1)).alias("lines"), digest_root(parts).alias("line_digest")
-    )
+    # readers and listings write the same local URI with one or with three slashes
+    whole = lambda c: F.regexp_replace(c, "^file:/+", "file:/").alias("file")
+    at = whole(F.col("_metadata.file_path"))
+    # readers skip empty files, so the list of names comes first
+    names = [(x,) for x in spark.read.text(path).inputFiles()]
+    files = spark.createDataFrame(names, "file string").select(whole(F.col("file")))
     if by_line:
-        hashed = per_file.withColumn("content_hash", F.col("line_digest"))
+        parts = multiset_digest(F.sha2("value", 256))
+        hashes = spark.read.text(path).select(at, "value").where(
+            F.length(F.trim("value")) > 0
+        ).groupBy("file").agg(digest_root(parts).alias("content_hash"))
+    else:
+        content = spark.read.format("binaryFile").load(path)
+        hashes = content.select(at, F.sha2("content", 256).alias("content_hash"))
+    hashed = files.join(hashes, "file", "left").withColumn(
+        "content_hash", F.coalesce("content_hash", F.sha2(F.lit("").cast("binary"), 256))
+    )
+    if quoted:
+        rows = spark.read.schema("c string").option("multiLine", True).option("escape", '"').csv(path)
+        rows = rows.select(at, "c")
     else:
-        files = spark.read.format("binaryFile").load(path).select(
-            F.regexp_extract("path", "[^/]+$", 0).alias("name"),
-            F.sha2("content", 256).alias("content_hash"),
-        )
-        hashed = per_file.withColumn("name", F.regexp_extract("file", "[^/]+$", 0)).join(
-            files, "name"
-        )
+        rows = spark.read.text(path).select(at, "value").where(F.length(F.trim("value")) > 0)
+    hashed = hashed.join(rows.groupBy("file").agg(F.count(F.lit(1)).alias("lines")), "file", "left")
     extra = [x for kv in (metadata or {}).items() for x in (F.lit(kv[0]), F.lit(kv[1]))]
     return snapshot_rows(
         hashed,
         source_id=F.lit(source_id),
         captured_at=F.lit(captured_at or datetime.now(timezone.utc)),
         content_hash=F.col("content_hash"),
-        record_count=F.col("lines") - (1 if header else 0),
+        record_count=F.greatest(F.coalesce("lines", F.lit(0)) - (1 if header else 0), F.lit(0)),
         schema_version=F.lit(schema_version),
         metadata=F.create_map(
             F.lit("path"), F.regexp_extract("file", "[^/]+$", 0), *extra

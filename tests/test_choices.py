@@ -257,3 +257,13 @@ def test_softmax_sums_to_one(spark):
     assert abs(row["u"][6] - (-0.25 + 0.12)) < 1e-12 and abs(row["u"][7] - (-0.07)) < 1e-12
     train = utility.choice_probabilities(household, mode="training").first()
     assert len(set(train["u"][4:])) == 1
+
+
+def test_every_feature_name_is_kept(spark):
+    obs = observations(
+        spark, ("h", "workplace_zone", "A", day(2), "s1"), ("h", "anything_new", "x", day(3), "s2"),
+        ("h", "stage", "visit", day(9), "s2"),
+    )
+    d = spark.createDataFrame([("1", "h", day(4))], "decision_id string, household_id string, as_of timestamp")
+    got = features.feature_rows(features.asof_features(d, obs), ["decision_id"]).collect()
+    assert {(r["feature_name"], r["value"]) for r in got} == {("workplace_zone", "A"), ("anything_new", "x")}

@@ -294,3 +294,20 @@ def test_audit_of_poor_and_ready_evidence(spark):
              audit.coverage(spark.createDataFrame(rows, EV)).collect()}
     assert cover["workplace_zone"] == cover["reason"] == cover["outside_option"] == 1.0
     assert cover["purchase_horizon"] == 0.0 and len(cover) == 14
+
+
+def test_refused_decisions_do_not_change_a_status(spark):
+    models = spark.createDataFrame([("a", "m")], "artifact_id string, model_name string")
+    log = decisions(spark, "archived", "approved")
+    row = gov.current_model_status(models, log).first()
+    assert (row["status"], row["last_seq"]) == ("archived", 0)
+
+
+def test_one_forecast_of_an_experiment_locks(spark):
+    first = predictions(spark)
+    second = first.withColumn("ensemble_samples", F.col("ensemble_samples") + 1).withColumn(
+        "created_at", F.col("created_at") + F.expr("INTERVAL 1 HOUR"))
+    again = first.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 2 HOURS"))
+    batch = first.unionByName(second).unionByName(again)
+    got = ex.validate_predictions(batch, definitions(spark)).orderBy("created_at").collect()
+    assert [r["status"] for r in got] == ["locked", "rejected", "already_locked"]

@@ -324,3 +324,11 @@ def test_paired_comparison(spark):
     assert abs(e["mean"] - (out["treatment"]["mean"] - out["control"]["mean"])) < 1e-12
     ensemble = scenarios.scenario_ensemble(picks, runs=10)
     assert ensemble.where("samples <> 10").count() == 0
+
+
+def test_unfinished_fit_reports_the_loss_of_its_weights(spark):
+    sets = logit.training_sets(random_sets(spark)).cache()
+    for steps in (1, 2):
+        fit = logit.logit_fit(sets, max_iter=steps, init=dict.fromkeys(FEATURES, 0.5))
+        loss, _ = reference_stats(dense(sets), np.array([fit.weights[n] for n in FEATURES]))
+        assert not fit.converged and abs(fit.loss - loss / 300) < 1e-8

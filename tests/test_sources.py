@@ -185,3 +185,29 @@ def test_file_snapshots(spark, tmp_path):
     assert row["content_hash"] == hashlib.sha256(LEADS.encode()).hexdigest()
     assert row["record_count"] == 4
     assert ingest.record_source_snapshot(snap, snap).count() == 0
+
+
+def test_snapshots_of_equal_names_empty_files_and_quoted_newlines(spark, tmp_path):
+    import hashlib
+
+    texts = {"a": "k,v\n1,x\n2,y\n", "b": 'k,v\n1,"two\nlines"\n', "c": ""}
+    for folder, text in texts.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(text)
+    got = ingest.file_snapshots(spark, str(tmp_path / "*"), source_id="crm").collect()
+    assert sorted((r["content_hash"], r["record_count"]) for r in got) == sorted(
+        (hashlib.sha256(t.encode()).hexdigest(), n) for t, n in zip(texts.values(), (2, 1, 0))
+    )
+    lines = ingest.file_snapshots(spark, str(tmp_path / "*"), source_id="crm", quoted=False, by_line=True)
+    assert sorted(r["record_count"] for r in lines.collect()) == [0, 2, 2]
+
+
+def test_iso_keeps_microseconds(spark):
+    from hearthline.sources.adapters import iso
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = spark.sql("SELECT timestamp'2024-01-02 03:04:05.123456' AS t UNION ALL SELECT timestamp'2024-01-02 03:04:05'")
+    assert sorted(r[0] for r in rows.select(iso(F.col("t"))).collect()) == [
+        "2024-01-02T03:04:05.123456Z", "2024-01-02T03:04:05Z",
+    ]
