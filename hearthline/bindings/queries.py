@@ -1246,7 +1246,7 @@ def _(m):
 
 @query("bootstrap_fit", None, {"weight": 6})
 def _(m):
-    samples = logit.bootstrap_fit(_fit_sets(m), replicates=20)
+    samples = logit.bootstrap_fit(_fit_sets(m))
     return logit.parameter_frame(m.spark, samples)
 
 
@@ -1254,7 +1254,7 @@ def _(m):
 def _(m):
     sets = _fit_sets(m)
     fit = logit.logit_fit(sets)
-    samples = logit.bootstrap_fit(sets, replicates=20)
+    samples = logit.bootstrap_fit(sets)
     return logit.coefficient_intervals(logit.parameter_frame(m.spark, samples), fit.weights)
 
 
@@ -2004,9 +2004,8 @@ def _(m):
 def _(m):
     c = _calibration(m)
     model = forecast.Model("M0", "approved", "bench", c.weights, c.samples)
-    first = m.definitions.orderBy("experiment_id").limit(1)
     return forecast.forecast_experiment(
-        first, model, m.people, m.market_sets, dataset_snapshot_id="bench",
+        m.definitions, model, m.people, m.market_sets, dataset_snapshot_id="bench",
         population_snapshot_id="bench", population_version="empirical:bench",
         created_at=datetime(2024, 1, 1, tzinfo=timezone.utc),
         control=SCENARIOS[0], treatment=SCENARIOS[1], mode="expected",

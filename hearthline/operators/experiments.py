@@ -133,19 +133,17 @@ def _with_rules(new: DataFrame, definitions: DataFrame, predictions: DataFrame)
     return new.join(rules, "experiment_id", "left").join(locks, "experiment_id", "left")
 
 
-def _accepted_first(
-    valid: DataFrame, groups: Sequence[Sequence[str]], *, max_rounds: int = 1000
-) -> DataFrame:
+def _accepted_first(valid: DataFrame, groups: Sequence[Sequence[str]]) -> DataFrame:
     """Orders (`_ord`) of the rows an append-in-order log would accept, when a row is refused as
     soon as an earlier accepted row shares one of the key groups.
 
     A row that comes first in all of its groups is surely accepted and settles everyone else in
     those groups; the rest goes to the next round. One round is the rule, more are only needed
-    for keys that cross.
+    for keys that cross. Every round settles at least the earliest open row, so it ends.
     """
     taken: DataFrame | None = None
     open_rows = valid
-    for _ in range(max_rounds):
+    while True:
         first = open_rows
         for i, group in enumerate(groups):
             best = open_rows.groupBy(*group).agg(F.min("_ord").alias(f"_min{i}"))
@@ -165,7 +163,6 @@ def _accepted_first(
         open_rows = cut_lineage(rest)
         if open_rows.isEmpty():
             return taken
-    raise RuntimeError("append order did not settle")
 
 
 ASSIGNMENT_KEY = ("experiment_id", "source_id", "source_event_key")

@@ -92,7 +92,9 @@ def event_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def append_events(spark: SparkSession, path: str, new: DataFrame, *, source_id: str) -> dict:
+def append_events(
+    spark: SparkSession, path: str, new: DataFrame, *, source_id: str, rows_per_file: int = 500_000
+) -> dict:
     """Ingest one batch into the Parquet event table. One writer at a time is assumed."""
     from hearthline.session import cut_lineage
 
@@ -104,9 +106,15 @@ def append_events(spark: SparkSession, path: str, new: DataFrame, *, source_id:
     fresh, result = ingest_events(cut_lineage(new), event_store(spark, path), source_id=source_id)
     fixed = cut_lineage(fresh)
     counts = result.first().asDict()
+    dated = fixed.withColumn("event_date", F.to_date("occurred_at"))
+    # one file per `rows_per_file` rows of a (type, day): a busy day is many tasks, a small batch one file
+    files = dated.groupBy("event_type", "event_date").agg(
+        F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files")
+    )
     (
-        fixed.withColumn("event_date", F.to_date("occurred_at"))
-        .repartition("event_type", "event_date", F.pmod(F.xxhash64("dedupe_key"), F.lit(16)))
+        dated.join(files, ["event_type", "event_date"])
+        .repartition("event_type", "event_date", F.pmod(F.xxhash64("dedupe_key"), F.col("_files")))
+        .drop("_files")
         .sortWithinPartitions("entity_id", "occurred_at")
         .write.mode("append").partitionBy("event_type", "event_date").parquet(path)
     )
