@@ -1985,7 +1985,7 @@ def _(m):
 def _calibration(m: Market) -> calibration.Calibration:
     return calibration.calibrate(
         examples(m), model_name="buyer-choice", model_version="1", code_version="bench",
-        dataset_snapshot_id="bench", bootstrap_samples=20,
+        dataset_snapshot_id="bench",
     )
 
 
