@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.functions.hashing import uniform
-from hearthline.operators.utility import choice_utility, softmax
+from hearthline.operators.utility import choice_features, outside_constant, softmax
 from hearthline.schemas import DEFAULT_WEIGHTS, FEATURES, UNIT
 
 
@@ -143,18 +143,28 @@ def score_scenarios(
     """`population_sets` x scenarios x parameter vectors with the probabilities `p`.
 
     Scenarios and parameter vectors are literals unrolled inside each row; each row holds one
-    whole set, so scoring needs no shuffle.
+    whole set, so the softmax needs no shuffle. Features are taken once per scenario, a parameter
+    vector only weighs them. Rows are small in bytes but heavy to score, so they are dealt over
+    a fixed number of partitions: by bytes, the runtime would merge them into a single task.
     """
-    runs = apply_scenario(grouped, scenarios).withColumn(
-        "_w", F.explode(_parameter_column(parameters, first_parameter))
-    )
-    utilities = F.transform(
-        "alts",
-        lambda a: choice_utility(lambda n: a[n], F.col, lambda n: F.col("_w")[n]),
-    )
-    return runs.withColumn("u", utilities).withColumn("p", softmax(F.col("u"))).select(
+    tasks = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = grouped.repartition(tasks, F.xxhash64("class_id", "project_id"))
+
+    def features(a: Column) -> Column:
+        values = choice_features(lambda n: a[n], F.col)
+        named = [x for n, v in zip(FEATURES, values, strict=True) for x in (F.lit(n), v)]
+        return F.named_struct(
+            *named, F.lit("_constant"), outside_constant(lambda n: a[n], F.col)
+        )
+
+    def weighted(x: Column) -> Column:
+        total = F.col("_w")[FEATURES[0]] * x[FEATURES[0]]
+        for name in FEATURES[1:]:
+            total = total + F.col("_w")[name] * x[name]
+        return total + x["_constant"]
+
+    facts = apply_scenario(dealt, scenarios).select(
         "class_id", "project_id", "purchase_purpose", "households", "scenario_id", "dropped",
-        F.col("_w.parameter").alias("parameter"),
         F.transform(
             "alts",
             lambda a: F.named_struct(
@@ -162,7 +172,13 @@ def score_scenarios(
                 F.lit("alternative_type"), a["alternative_type"],
             ),
         ).alias("alts"),
-        "p",
+        F.transform("alts", features).alias("_x"),
+    )
+    runs = facts.withColumn("_w", F.explode(_parameter_column(parameters, first_parameter)))
+    scored = runs.withColumn("u", F.transform("_x", weighted)).withColumn("p", softmax(F.col("u")))
+    return scored.select(
+        "class_id", "project_id", "purchase_purpose", "households", "scenario_id", "dropped",
+        F.col("_w.parameter").alias("parameter"), "alts", "p",
     )
 
 
