@@ -25,7 +25,7 @@ NUMERIC = (
     "purchase_horizon_days", "commute_tolerance_min",
 )
 # index places per join chunk when draws look up their prototype
-CHUNK = 16
+CHUNK, FAN = 16, 256
 
 
 def prototype_key() -> Column:
@@ -81,13 +81,49 @@ def population_profile(households: DataFrame, *, name: str = "empirical") -> Pop
     return Population(name, prototypes, n, row["content_hash"], warnings)
 
 
+def _block_sizes(households: int) -> list[int]:
+    """Widths of index blocks. The widest is still cut often enough (64 to 16,384 blocks in all)
+    to spread the draws of a prototype that holds nearly everyone."""
+    sizes = [CHUNK]
+    while sizes[-1] * FAN * 64 <= households:
+        sizes.append(sizes[-1] * FAN)
+    return sizes
+
+
+def _blocks(sizes: Sequence[int]) -> Column:
+    """(level, block) cells of [lo, hi): the widest aligned blocks inside it, narrower ones only
+    along its two edges. So a heavy prototype is a few hundred cells on each level."""
+    lo, hi = F.col("lo"), F.col("hi")
+    none = F.array().cast("array<bigint>")
+
+    def run(a: Column, b: Column) -> Column:
+        return F.when(b > a, F.sequence(a, b - 1)).otherwise(none)
+
+    def cell_of(level: int):
+        return lambda x: F.struct(F.lit(level).alias("_level"), x.alias("_block"))
+
+    cells = []
+    for level, size in enumerate(sizes):
+        if level == 0:  # the narrowest may stick out; the join checks the index itself
+            a, b = F.floor(lo / size), F.floor((hi - 1) / size) + 1
+        else:
+            a, b = F.ceil(lo / size), F.floor(hi / size)
+        found = run(a, b)
+        if level + 1 < len(sizes):
+            up = F.ceil(lo / (size * FAN)), F.floor(hi / (size * FAN))
+            edges = F.concat(run(a, up[0] * FAN), run(up[1] * FAN, b))
+            found = F.when(up[1] > up[0], edges).otherwise(found)
+        cells.append(F.transform(found, cell_of(level)))
+    return F.concat(*cells)
+
+
 def resample_population(
     prototypes: DataFrame, size: int, *, seed: int, households: int, version: str
 ) -> DataFrame:
     """`size` synthetic households drawn with replacement, weight-proportional and repeatable.
 
-    A draw is a hash uniform turned into an index; index ranges are cut into small chunks so that
-    draws and prototypes meet in an equi join without skew.
+    A draw is a hash uniform turned into an index; index ranges are cut into aligned blocks of a
+    few widths, so that draws and prototypes meet in an equi join without skew.
     """
     if size <= 0:
         raise ValueError("size must be positive")
@@ -96,14 +132,19 @@ def resample_population(
         F.floor(uniform("population", seed, F.col("id")) * F.lit(households)).cast("long").alias(
             "_idx"
         ),
-    ).withColumn("_chunk", F.floor(F.col("_idx") / CHUNK))
-    cut = prototypes.withColumn(
-        "_chunk",
-        F.explode(
-            F.sequence(F.floor(F.col("lo") / CHUNK), F.floor((F.col("hi") - 1) / CHUNK))
-        ),
     )
-    met = draws.join(cut, "_chunk").where(
+    sizes = _block_sizes(households)
+    asked = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("_level"), F.floor(F.col("_idx") / size).alias("_block")
+            )
+            for k, size in enumerate(sizes)
+        ]
+    )
+    draws = draws.select("*", F.inline(asked))
+    cut = prototypes.select("*", F.inline(_blocks(sizes)))
+    met = draws.join(cut, ["_level", "_block"]).where(
         (F.col("_idx") >= F.col("lo")) & (F.col("_idx") < F.col("hi"))
     )
     return met.select(
