@@ -25,6 +25,8 @@ UPPER = [(i, j) for i in range(K) for j in range(i, K)]
 STATS = 2 + K + len(UPPER)
 # replicates evaluated together, to bound the memory of one task
 GROUP = 16
+# alternative rows worked on at once; a single larger set is one block
+BLOCK_ROWS = 65_536
 
 
 @dataclass
@@ -95,6 +97,20 @@ def _statistics(x, starts, sizes, chosen, weights, counts, hessian) -> np.ndarra
     return out
 
 
+def _blockwise(x, starts, sizes, chosen, weights, counts, hessian, rows=BLOCK_ROWS) -> np.ndarray:
+    """`_statistics` over blocks of whole sets, so its arrays do not grow with the batch."""
+    total, ends, lo = np.zeros((len(weights), STATS)), starts + sizes, 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + rows, "right")))
+        first = starts[lo]
+        total += _statistics(
+            x[first:ends[hi - 1]], starts[lo:hi] - first, sizes[lo:hi], chosen[lo:hi], weights,
+            counts[lo:hi], hessian,
+        )
+        lo = hi
+    return total
+
+
 def sufficient_statistics(
     sets: DataFrame,
     weights: np.ndarray,
@@ -132,7 +148,7 @@ def sufficient_statistics(
                 counts = flat.reshape(batch.num_rows, -1)[:, reps].astype(np.float64)
             else:
                 counts = np.ones((batch.num_rows, len(weights)))
-            total += _statistics(x, starts, sizes, chosen, weights, counts, hessian)
+            total += _blockwise(x, starts, sizes, chosen, weights, counts, hessian)
         data = [pa.array(reps, pa.int32())] + [pa.array(total[:, i]) for i in range(STATS)]
         yield pa.RecordBatch.from_arrays(data, names=["replicate", *names])
 

@@ -252,7 +252,8 @@ def calibration_run(
             "dataset_snapshot_id": manifest["dataset_snapshot_id"],
             "code_version": code_version, "holdout_fraction": holdout_fraction,
             "bootstrap_samples": bootstrap_samples, "seed": seed,
-            "minimum_confidence": minimum_confidence, "run_version": "001",
+            "minimum_confidence": minimum_confidence, "diagnostic_size": diagnostic_size,
+            "model_name": model_name, "model_version": model_version, "run_version": "002",
         }
     )
     art = result.artifact.first()

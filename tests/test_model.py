@@ -243,6 +243,44 @@ def test_one_prototype_may_hold_almost_everything(spark):
     assert drawn.count() == 20000 and 1 <= rare <= 30
 
 
+def test_blocks_cover_every_index_once(spark, monkeypatch):
+    monkeypatch.setattr(population, "CHUNK", 2)
+    monkeypatch.setattr(population, "FAN", 4)
+    total = 3000
+    sizes = population._block_sizes(total)
+    assert sizes == [2, 8, 32]
+    edges = [0, 1, 2, 7, 8, 9, 63, 200, 2900, total]  # one prototype holds 90 %
+    ranges = list(zip(edges, edges[1:]))
+    df = spark.createDataFrame(ranges, "lo long, hi long")
+    cells = df.select("lo", "hi", F.inline(population._blocks(sizes))).collect()
+    for i in range(total):
+        met = [
+            (c["lo"], c["hi"]) for c in cells
+            if i // sizes[c["_level"]] == c["_block"] and c["lo"] <= i < c["hi"]
+        ]
+        assert met == [next(r for r in ranges if r[0] <= i < r[1])], i
+    heavy = [c for c in cells if c["lo"] == 200]
+    assert len(heavy) < 100  # against 1,350 chunks
+
+
+def test_statistics_do_not_depend_on_the_block_size(monkeypatch):
+    w = np.array([[DEFAULT_WEIGHTS[n] for n in FEATURES]])
+    real, calls = logit._statistics, []
+
+    def counted(x, *rest):
+        calls.append(len(x))
+        return real(x, *rest)
+
+    sizes, chosen = np.array([3, 9, 2, 2, 1]), np.array([0, 4, 1, 0, 0])
+    x = np.random.default_rng(3).normal(size=(17, len(FEATURES)))
+    starts, ones = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.ones((5, 1))
+    one = real(x, starts, sizes, chosen, w, ones, True)
+    monkeypatch.setattr(logit, "_statistics", counted)
+    parts = logit._blockwise(x, starts, sizes, chosen, w, ones, True, rows=4)
+    assert calls == [3, 9, 4, 1]  # whole sets; a larger one stands alone
+    assert np.allclose(one, parts, atol=1e-12)
+
+
 def market(spark):
     alts = [alt("a", 1e9, 1e7), alt("b", 2e9, 2e7, "street_villa"), alt("OUT-NO-PURCHASE")]
     sets = spark.createDataFrame([("p", alts)], f"project_id string, alts array<{ALT}>")
