@@ -101,8 +101,9 @@ def scd_active_offers(
 def _unit_sets(
     asofs: DataFrame, units: DataFrame, offers: DataFrame, *, horizon
 ) -> DataFrame:
-    """Packed unit alternatives per (project_id, as_of), with `issue` where a version or offer
-    is ambiguous. One pass: versions, then their offers, then one list per set."""
+    """Packed unit alternatives per (project_id, as_of), with `issue` where a version or offer is
+    ambiguous, an offer has no source, or two open units share a code. All other set rules hold by
+    construction. One pass: versions, then their offers, then one list per set."""
     versions = scd_active_units(asofs, units, horizon=horizon).where(
         (F.col("inventory_state") == "available") | F.col("ambiguous")
     ).withColumnRenamed("ambiguous", "unit_ambiguous")
@@ -127,11 +128,16 @@ def _unit_sets(
     )
     issue = F.when(F.col("unit_ambiguous"), "ambiguous_unit_version").when(
         F.col("ambiguous"), "ambiguous_offer"
-    )
-    return rows.groupBy("project_id", "as_of").agg(
+    ).when(open_offer & ~filled(F.trim("offer_source")), "missing_provenance")
+    packed = rows.groupBy("project_id", "as_of").agg(
         F.array_sort(F.collect_list(F.when(open_offer, item))).alias("alts"),
         F.min(issue).alias("issue"),
     )
+    codes = F.transform("alts", lambda a: a["alternative_id"])
+    repeated = F.size(F.array_distinct(codes)) != F.size(codes)
+    return packed.withColumn(
+        "issue", F.coalesce("issue", F.when(repeated, "duplicate_alternative"))
+    )
 
 
 def _outside_items() -> Column:

@@ -138,6 +138,23 @@ def test_historical_decisions(spark):
     }
 
 
+def test_assembly_refuses_repeated_codes_and_offers_without_source(spark):
+    u = units(spark, ("u", "available", day(1), None), ("w", "available", day(1), None))
+    o = offers(spark, ("u", 1e9, day(1), None), ("w", 1e9, day(1), None))
+    twin = u.withColumn("unit_code", F.lit("K-same"))
+    blank = o.withColumn(
+        "source_id", F.when(F.col("unit_id") == "u", F.lit(" ")).otherwise(F.col("source_id"))
+    )
+    made = outcome_events(spark, ("h", day(5), {"outside_option": "no_purchase"}))
+    for some_units, some_offers, code in (
+        (twin, o, "duplicate_alternative"), (u, blank, "missing_provenance"),
+    ):
+        _, bad = choices.choice_sets(asofs(spark, day(5)), some_units, some_offers)
+        assert [r["code"] for r in bad.collect()] == [code]
+        good, bad = choices.historical_decisions(made, some_units, some_offers, project=F.lit("p"))
+        assert good.count() == 0 and [r["code"] for r in bad.collect()] == [code]
+
+
 def test_unavailable_unit_is_a_violation(spark):
     u = units(spark, ("u", "available", day(1), None))
     o = offers(spark, ("u", 1e9, day(1), None))
