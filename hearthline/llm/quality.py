@@ -27,7 +27,9 @@ def features(text: bytes) -> list[float]:
     high = int(c[128:].sum())
     lines = [x for x in text.split(b"\n") if x.strip()]
     counts = Counter(words)
-    follow = Counter(zip(words, words[1:])) if m < 2000 else None
+    number = dict(zip(counts, range(len(counts))))
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, m)
+    follow = np.unique(ids[:-1] * len(counts) + ids[1:], return_counts=True)[1]
     doubled = sum(map(operator.eq, words, words[1:]))
     return [
         float(np.log1p(m)), sum(map(len, words)) / m, len(counts) / m**0.8, doubled / m,
@@ -36,7 +38,7 @@ def features(text: bytes) -> list[float]:
         (int(c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum())) / m, high / n,
         int(c[10]) / m, 1 - len(set(lines)) / len(lines), float(np.log1p(max(map(len, words)))),
         float(np.log1p(m / len(lines))), int(c[ord("_")] + c[ord("=")] + c[ord("{")] + c[ord("}")]) / m,
-        follow.most_common(1)[0][1] / m if follow else doubled / m,
+        int(follow.max(initial=0)) / m,
     ]
 
 

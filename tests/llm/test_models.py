@@ -58,6 +58,16 @@ def test_non_negative_risk_separates():
     assert (p[:, None] > n[None, :600]).mean() > 0.98 and (p >= 0.3).mean() > 0.97
 
 
+def test_word_pair_share_at_any_length():
+    for m in (1, 2, 50, 1998, 2000, 2002, 30_000):
+        words = [b"click", b"here"] * (m // 2) if m > 1 else [b"click"]
+        words[1 : m // 2] = [b"w%d" % k for k in range(1, m // 2)]  # the first half differs, the rest repeats a phrase
+        pairs = {}
+        for pair in zip(words, words[1:]):
+            pairs[pair] = pairs.get(pair, 0) + 1
+        assert quality.features(b" ".join(words))[-1] == max(pairs.values(), default=0) / len(words)
+
+
 def test_quality_on_held_out_labels(spark):
     import pandas as pd
 
