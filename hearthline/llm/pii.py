@@ -1,7 +1,7 @@
 """Personal data: fixed patterns for direct identifiers, and information-theoretic sanitisation of revealing terms.
 
-The patterns find protected entities (e-mail and IP addresses, card and phone numbers). A term t near an entity e gives
-away its information when p(e|t) is high: PMI(t;e) = log2(p(t,e) / (p(t) p(e))), compared with the entity's own
+The patterns find protected entities (e-mail and IP addresses, card and phone numbers). A term t of a text with an
+entity e gives away its information when p(e|t) is high: PMI(t;e) = log2(p(t,e) / (p(t) p(e))), compared with the entity's own
 information IC(e) = -log2 p(e). Probabilities are shares of documents, counted over the whole corpus. A term with
 PMI >= IC / alpha is replaced by a more general form (its first letters) if that form stays below the threshold, and
 removed otherwise.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,58 +82,68 @@ def key_of(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode("utf-8", "replace")) - (1 << 63)
 
 
-def context(text: str, found: list[tuple[str, int, int]], window: int, reach: int) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, its general form, start, end) for up to `window` terms on either side of each entity, within
-    `reach` code points; terms inside an entity are left out."""
+def outside(text: str, found: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """All terms of the text that do not touch an entity."""
     taken: list[tuple[int, int]] = []  # entities, merged
     for a, b in sorted((a, b) for _, a, b in found):
         if taken and a < taken[-1][1]:
             taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
         else:
             taken.append((a, b))
-    begins, out = [a for a, _ in taken], []
-
-    def inside(start: int, end: int) -> bool:
-        k = bisect_left(begins, end)
-        return k > 0 and taken[k - 1][1] > start
-
-    for kind, a, b in found:
-        entity = key_of(f"{kind}:{text[a:b]}")
-        left = [m for m in TERM.finditer(text, max(0, a - reach), a)][-window:]
-        if left and left[0].start() == a - reach and a > reach:
-            left = left[1:]  # it may have been cut
-        right = []
-        for m in TERM.finditer(text, b, min(len(text), b + reach)):
-            if len(right) == window:
-                break
-            if m.end() < b + reach:
-                right.append(m)
-        for m in left + right:
-            if not inside(*m.span()):
-                word = m[0].lower()
-                out.append((entity, key_of(word), key_of(word[:PREFIX] + "*"), m.start(), m.end()))
-    return out
+    begins = [a for a, _ in taken]
+    for m in TERM.finditer(text):
+        k = bisect_left(begins, m.end())
+        if not (k and taken[k - 1][1] > m.start()):
+            yield m
 
 
-FOUND = (
-    "entities array<struct<kind:string,start:long,end:long>>, "
-    "context array<struct<entity:long,term:long,general:long,start:long,end:long>>"
-)
+def find_entities(text):
+    """Struct column: the entities of a text and their distinct keys."""
 
+    def one(value: bytes) -> tuple:
+        known = value.decode("utf-8", "replace")
+        found = entities(known)
+        return [{"kind": k, "start": a, "end": b} for k, a, b in found], sorted({key_of(f"{k}:{known[a:b]}") for k, a, b in found})
 
-def find_entities(text, window: int = 5, reach: int = 200):
-    """Struct column: the entities of a text and the terms around them."""
+    return text_udf(each(lambda: one), "entities array<struct<kind:string,start:long,end:long>>, keys array<long>")(text)
+
+
+def find_terms(text):
+    """Struct column: the distinct keys of all terms of a text outside its entities, and of their general forms."""
 
     def one(value: bytes) -> tuple:
         known = value.decode("utf-8", "replace")
-        found = entities(known)
-        near = context(known, found, window, reach) if found else []
-        return (
-            [{"kind": k, "start": a, "end": b} for k, a, b in found],
-            [dict(zip(("entity", "term", "general", "start", "end"), x)) for x in near],
-        )
+        words = {m[0].lower() for m in outside(known, entities(known))}
+        return (sorted({key_of(w) for w in words} | {key_of(w[:PREFIX] + "*") for w in words}),)
 
-    return text_udf(each(lambda: one), FOUND)(text)
+    return text_udf(each(lambda: one), "terms array<long>")(text)
+
+
+def find_places(text, told):
+    """Column: (start, end, action) of every occurrence of the told (entity, term) keys in the whole text. A word goes if
+    its general form gives away the same entity too."""
+
+    def one(value: str, pairs: list) -> list:
+        by: dict[int, set[int]] = {}
+        for x in pairs:
+            by.setdefault(x["term"], set()).add(x["entity"])
+        out, acts = [], {}
+        for m in outside(value, entities(value)):
+            word = m[0].lower()
+            if word not in acts:
+                who = by.get(key_of(word))
+                acts[word] = who and ("remove" if who & by.get(key_of(word[:PREFIX] + "*"), set()) else "generalise")
+            if acts[word]:
+                out.append({"start": m.start(), "end": m.end(), "action": acts[word]})
+        return out
+
+    def run(texts: pa.Array, pairs: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), pairs.to_pylist())
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("action", pa.string())]))
+        return pa.array([one((t or b"").decode("utf-8", "replace"), p) if p else [] for t, p in rows], kind)
+
+    run.__annotations__ = {"texts": pa.Array, "pairs": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<start:long,end:long,action:string>>").asNondeterministic()(text.cast("binary"), told)
 
 
 FILTER_BITS = 1 << 23  # one megabyte, whatever the corpus
@@ -192,17 +203,13 @@ def term_frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.sum("n").alias("n_docs")).join(terms, "term", "left_semi")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text: str, total: int, alpha: float, support: int) -> DataFrame:
-    """(entity, term): terms that give away at least 1/alpha of the information of an entity that they stand
-    near in at least `support` documents. `found` has a row per document that holds an entity, with its context.
-    """
-    seen = found.select(F.explode(F.expr(
-        "array_distinct(flatten(transform(context, c -> array(struct(c.entity, c.term as term), struct(c.entity, c.general as term)))))"
-    )).alias("x")).select("x.entity", "x.term")
+def disclosing(
+    seen: DataFrame, n_entity: DataFrame, docs: DataFrame, text: str, total: int, alpha: float, support: int
+) -> DataFrame:
+    """(entity, term): terms that give away at least 1/alpha of the information of an entity that they share at
+    least `support` documents with. `seen` has a row per document, entity and term of it."""
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= support)
     pairs = cut_lineage(pairs)
-    near = found.select(F.explode(F.expr("array_distinct(transform(context, c -> c.entity))")).alias("entity"))
-    n_entity = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
     frequencies = term_frequencies(docs, text, pairs.select("term").distinct())
     joined = pairs.join(n_entity, "entity").join(frequencies, "term")
     pmi = F.log2(F.col("n_pair") * F.lit(float(total)) / (F.col("n_docs").cast("double") * F.col("n_entity")))
@@ -211,36 +218,37 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str, total: int, alpha:
 
 
 def sanitise(
-    docs: DataFrame, text: str = "text", window: int = 5, alpha: float = 1.25, support: int = 3, out: str = "pii",
+    docs: DataFrame, text: str = "text", alpha: float = 1.25, support: int = 3, out: str = "pii",
     keep_text: bool = False, redacted: bool = False,
 ) -> DataFrame:
     """All columns of `docs` but the text (unless `keep_text`; then `redacted` cleans it), and the struct `out` with entities and terms: (start,
     end, action) of revealing terms, action being generalise or remove.
 
-    Null and empty texts have no spans; texts are read whole; a repeated row counts as a document of its own; an empty
-    table stays empty; a column named like `out` is replaced. Only rows that hold an entity are joined, by the windows
-    around it; all others pass through. Counts cover all documents.
+    All terms of a document that holds an entity are judged, wherever they stand, and a revealing one is treated at
+    every place of the text. Null and empty texts have no spans; texts are read whole; a repeated row counts as a
+    document of its own; an empty table stays empty; a column named like `out` is replaced. Only rows that hold an
+    entity are joined; all others pass through. Counts cover all documents.
     """
-    row, terms = free_name(docs, "__row"), free_name(docs, "__terms")
+    row, terms, body = free_name(docs, "__row"), free_name(docs, "__terms"), free_name(docs, "__body")
     kept = [F.col(f"`{c}`") for c in docs.columns if c != out and (keep_text or c != text)]
     total = docs.count()
-    marked = docs.withColumn(out, find_entities(F.col(text), window)).select(*kept, out)
+    marked = docs.withColumn(body, F.col(text)).withColumn(out, find_entities(F.col(text))).select(*kept, body, out)
     none = F.expr("cast(array() as array<struct<start:long,end:long,action:string>>)")
-    clean = marked.where(F.size(f"{out}.entities") == 0)
+    clean = marked.where(F.size(f"{out}.entities") == 0).drop(body)
     clean = clean.withColumn(out, F.struct(F.col(f"{out}.entities").alias("entities"), none.alias("terms")))
     held = cut_lineage(marked.where(F.size(f"{out}.entities") > 0).withColumn(row, F.expr("uuid()")))  # row names hold
-    found = held.select(row, f"{out}.context")
-    told = cut_lineage(disclosing(found, docs, text, total, alpha, support))
-    places = found.select(row, F.explode("context").alias("c")).select(row, "c.*")
-    named = places.join(told, ["entity", "term"])
-    general = told.select("entity", F.col("term").alias("general"), F.lit(True).alias("general_told"))
-    acts = named.join(general, ["entity", "general"], "left").select(
-        row, "start", "end", F.when(F.col("general_told"), "remove").otherwise("generalise").alias("action")
-    )
-    spans = acts.groupBy(row, "start", "end").agg(F.max("action").alias("action"))  # the stronger of two
-    spans = spans.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias(terms))
+    who = held.select(row, F.explode(f"{out}.keys").alias("entity"))
+    # an entity in fewer documents than `support` has no pair that reaches it
+    n_entity = cut_lineage(who.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
+    often = who.join(n_entity, "entity").groupBy(row).agg(F.collect_list("entity").alias("who"))
+    seen = held.select(row, body).join(often, row).select(row, "who", find_terms(F.col(body))["terms"].alias("t"))
+    seen = cut_lineage(seen)
+    seen = seen.select(row, F.explode("who").alias("entity"), "t").select(row, "entity", F.explode("t").alias("term"))
+    told = cut_lineage(disclosing(seen, n_entity, docs, text, total, alpha, support))
+    named = seen.join(told, ["entity", "term"]).groupBy(row).agg(F.collect_list(F.struct("entity", "term")).alias(terms))
+    marked = held.join(named, row, "left").withColumn(terms, find_places(F.col(body), F.col(terms)))
     result = F.struct(F.col(f"{out}.entities").alias("entities"), F.coalesce(terms, none).alias("terms"))
-    marked = held.join(spans, row, "left").withColumn(out, result).drop(row, terms)
+    marked = marked.withColumn(out, result).drop(row, terms, body)
     if keep_text and redacted:  # only these rows have anything to clean
         marked = marked.withColumn(text, redact(F.col(text), F.col(out)))
     return clean.unionAll(marked)

@@ -140,6 +140,16 @@ def test_disclosing_terms_and_redaction(docs, empty, spark):
     assert set(found.columns) == {*docs.columns, "pii"}
 
 
+def test_revealing_terms_far_from_the_entity(spark):
+    fill = lambda k, n: " ".join(f"f{(k * 7 + i) % 50}" for i in range(n))
+    rows = [(k, f"Quibblor {fill(k, 80)} mail me@far.example.org {fill(k, 80)} said quibblor.") for k in range(4)]
+    rows += [(k, fill(k, 90)) for k in range(4, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(docs, keep_text=True, redacted=True).collect()}
+    assert all("uibblor" not in got[k] and "<EMAIL>" in got[k] for k in range(4))
+    assert all(got[k] == t for k, t in rows[4:])
+
+
 def test_term_frequencies_match_loops(docs, rows, spark):
     vocabulary = sorted({w for r in rows for w in pii.TERM.findall((r[1] or "").lower())})[::7] + ["absent"]
     terms = spark.createDataFrame([(pii.key_of(w),) for w in vocabulary], "term long")
