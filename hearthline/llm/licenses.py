@@ -17,7 +17,7 @@ BASE_PHRASES = (
     ("cc-by-nc", "cc by nc"),
 )
 
-#: label | words that must all occur | name | SPDX identifiers | address. Patterns are over lower-case words joined by
+#: label | key words | name | SPDX identifiers | address. Patterns are over lower-case words joined by
 #: one space, so "2.0" reads "2 0". Hand-written; the forms below make several rules of each line.
 FAMILIES = """
 mit | mit | (?:mit|expat) licen[cs]e | mit | opensource org licenses mit
@@ -126,23 +126,58 @@ class Rule:
     name: str
     label: str
     pattern: re.Pattern
-    gate: frozenset
+    gate: frozenset  # words that every alternative needs
+    gates: tuple[frozenset, ...]  # any of these sets opens the rule
     priority: int
     weight: float
     base: bool
 
 
-def _rule(name: str, label: str, pattern: str, gate: str, priority: int, weight: float, base: bool = False) -> Rule:
+def _spelled(parsed) -> list[str]:
+    """All texts that a parsed pattern of letters, classes, brackets and optional parts matches."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            ends = [chr(arg)]
+        elif kind == "IN":
+            ends = [chr(c) for k, x in arg for c in ([x] if str(k) == "LITERAL" else range(x[0], x[1] + 1))]
+        elif kind == "BRANCH":
+            ends = [x for part in arg[1] for x in _spelled(part)]
+        elif kind == "SUBPATTERN":
+            ends = _spelled(arg[-1])
+        elif kind == "MAX_REPEAT" and arg[:2] == (0, 1):
+            ends = ["", *_spelled(arg[2])]
+        else:
+            raise ValueError(f"no gate for {kind}")
+        out = [a + b for a in out for b in ends]
+    return out
+
+
+def word_sets(pattern: str) -> list[frozenset]:
+    """The least sets of words of which a text must hold one whole set for the pattern to match. Numbers and spellings
+    of licence are left out where other words remain: a gate may open too often, never too seldom."""
+    sets = set()
+    for text in _spelled(re._parser.parse(pattern)):
+        words = frozenset(text.encode().split())
+        sets.add(frozenset(w for w in words if not w.isdigit() and not w.startswith((b"license", b"licence"))) or words)
+    return [s for s in sets if not any(t < s for t in sets)]
+
+
+def _rule(
+    name: str, label: str, pattern: str, body: str, more: str, priority: int, weight: float, base: bool = False
+) -> Rule:
     # neighbours are looked at, not consumed, so that places next to each other all count
     compiled = re.compile(f"(?<= )(?:{pattern})(?= )".encode())
-    return Rule(name, label, compiled, frozenset(gate.encode().split()), priority, weight, base)
+    gates = tuple(s | frozenset(more.encode().split()) for s in word_sets(body))
+    return Rule(name, label, compiled, frozenset.intersection(*gates), gates, priority, weight, base)
 
 
 def signature_rules() -> list[Rule]:
     """All rules in order of priority: the fixed phrases, then every family in its forms."""
-    rules = [_rule(f"base:{label}", label, phrase, phrase, 60, 1.0, True) for label, phrase in BASE_PHRASES]
+    rules = [_rule(f"base:{label}", label, phrase, phrase, "", 60, 1.0, True) for label, phrase in BASE_PHRASES]
     for line in FAMILIES.strip().splitlines():
-        family, gate, name, spdx, url = (x.strip() for x in line.split("|", 2)[:2] + _tail(line))
+        family, _, name, spdx, url = (x.strip() for x in line.split("|", 2)[:2] + _tail(line))
         label = re.sub(r"-(?:name|short|modern)$", "", family)
         for form, shape, more, priority, weight in FORMS:
             body = {"spdx": spdx, "url": url}.get(form, name)
@@ -151,8 +186,7 @@ def signature_rules() -> list[Rule]:
                     priority, weight = 5, 0.3
                     if form != "name":
                         continue
-                words = " ".join(re.findall(r"(?:^| )(org|com|net|eu|se|co|info)(?= |$)", body)[:1]) if form == "url" else gate if form != "spdx" else ""
-                rules.append(_rule(f"{form}:{family}", label, shape.replace("{}", f"(?:{body})"), f"{words} {more}", priority, weight))
+                rules.append(_rule(f"{form}:{family}", label, shape.replace("{}", f"(?:{body})"), body, more, priority, weight))
     return sorted(rules, key=lambda r: -r.priority)
 
 
@@ -190,7 +224,7 @@ DETECTIONS = (
 
 def _scanner():
     rules = signature_rules()
-    gates = frozenset().union(*(r.gate for r in rules))
+    gates = frozenset().union(*(s for r in rules for s in r.gates))
 
     def scan(text: bytes) -> tuple:
         words = plain_words(text)
@@ -198,7 +232,7 @@ def _scanner():
         found, norm = [], None
         if seen:
             for rule in rules:
-                if rule.gate <= seen:
+                if any(map(seen.issuperset, rule.gates)):
                     norm = norm or b" " + b" ".join(words) + b" "
                     for m in rule.pattern.finditer(norm):
                         found.append((rule, m.start(), m.end()))
@@ -222,7 +256,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", out: str = "license") ->
     """Add the struct `out`: n_words, and every detection with its word interval, weight and whether an overlapping
     one of higher priority (or length) contains it.
 
-    A rule runs only on texts that hold all words of its gate. Null and empty texts have no words and no detections;
+    A rule runs only on texts that hold all words of one of its gates. Null and empty texts have no words and no detections;
     texts are scanned whole; repeated rows are scanned each by itself; an empty table stays empty; other columns pass
     through untouched, one named like `out` is replaced.
     """

@@ -52,6 +52,22 @@ def test_rules_gate_and_containment():
         assert all(g["rule"] != rule.name or rule.gate <= {b"licensed", b"under", b"the", b"mit", b"license"} for g in got)
 
 
+def test_license_alternatives_open_their_own_gate():
+    scan = licenses._scanner()
+    for phrase, label in (
+        ("Creative Commons Attribution 4.0 International", "cc-by"), ("Expat License", "mit"), ("FreeBSD license", "bsd-2-clause"),
+        ("zero clause BSD", "bsd-0"), ("PSF license", "psf-2"), ("Creative Commons Attribution Share-Alike", "cc-by-sa"),
+        ("Creative Commons Attribution Non-Commercial", "cc-by-nc"), ("Creative Commons Attribution No-Derivs", "cc-by-nd"),
+        ("Creative Commons Attribution NoDerivs", "cc-by-nd"), ("open rail", "openrail"), ("licenced under", "generic"),
+    ):
+        assert label in {g["label"] for g in scan(phrase.encode())[1]}, phrase
+    for rule in licenses.signature_rules():  # a text that a body matches opens the gate
+        shape = rule.pattern.pattern.decode().removeprefix("(?<= )(?:").removesuffix(")(?= )")
+        if rule.name.startswith("name:"):
+            for text in licenses._spelled(licenses.re._parser.parse(shape)):
+                assert any(set(text.encode().split()) >= s for s in rule.gates), text
+
+
 def brute_windows(items, texts, size):
     windows = {}
     for item, text in items:
