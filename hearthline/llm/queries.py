@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import decontam, host_rules, licenses, lm, packing, pii, quality, simhash, token_files, url_filter
+from hearthline.llm import (
+    collocations, cross_polytope, decontam, fim, host_rules, licenses, lm, packing, pii, quality, simhash, token_files, url_filter,
+)
 from hearthline.llm.common import table, tokenizer_path
 from hearthline.session import shared_dir
 
@@ -94,6 +96,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), out="x")
+    return made.select(
+        "doc_id", F.col("x.n").alias("n"), F.col("x.form").alias("form"), F.col("x.prefix_chars").alias("prefix_chars"),
+        F.col("x.middle_chars").alias("middle_chars"), F.sha2("x.output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("x.output"), F.col("x.form")), 256).alias("restored_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_lm_score, op3_token_files, op4_quality, op5_host_rules, op6_packing, op7_decontamination, op8_pii,
-    op9_simhash, op10_url_filter, pipeline,
+    op9_simhash, op10_url_filter, op11_collocations, op12_neighbours, op13_fill_in_middle, pipeline,
 )}
 
 def _url_sql(depth: int = 4) -> str:
@@ -193,7 +212,43 @@ DECONTAMINATION_SQL = f"""
       sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
     FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)"""
 
-#: The others have no twin: trained models, XXH64, a tokenizer, hundreds of regular expressions or corpus disclosure.
+COLLOCATIONS_SQL = rf"""
+    WITH piece AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+      total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY 1),
+      gram AS (SELECT lang, w[i:i + k - 1] AS words FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece), range(1, 6) t(k)
+        WHERE i + k - 1 <= len(w)),
+      f AS (SELECT lang, words, count(*) AS f FROM gram GROUP BY 1, 2 HAVING count(*) >= 100),
+      cut AS (SELECT c.lang, c.words, k, c.f AS a, l.f AS l, r.f AS r, n,
+          ((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, len(words))) AS k FROM f WHERE len(words) > 1) c
+        JOIN f l ON l.lang = c.lang AND l.words = c.words[1:k] JOIN f r ON r.lang = c.lang AND r.words = c.words[k + 1:]
+        JOIN total ON total.lang = c.lang),
+      low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+      inner_ AS (SELECT lang, words[i:j] AS words, max(f) AS longer FROM
+        (SELECT *, unnest(range(i + 1, len(words) + 1)) AS j FROM (SELECT *, unnest(range(1, len(words))) AS i FROM f WHERE len(words) > 2))
+        WHERE j - i + 1 < len(words) GROUP BY 1, 2),
+      kept AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score FROM low LEFT JOIN inner_ USING (lang, words)
+        WHERE longer IS NULL OR 100 * longer < 100 * a)
+    SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept)
+    WHERE rank <= 2000"""
+
+FILL_SQL = r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS key,
+        regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+      h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || key[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || key[9:16])::BIGINT % (len(u) + 1) AS b,
+        CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR ('0x' || key[17:24])::BIGINT % 100 >= 100
+          THEN 'plain' WHEN ('0x' || key[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM t),
+      p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid,
+        array_to_string(u[greatest(a, b) + 1:], '') AS suf FROM h)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256 FROM p"""
+
+#: The others have no twin: trained models, XXH64, a tokenizer, hundreds of regular expressions, corpus disclosure or an
+#: approximate search.
 ORACLES: dict[str, str] = {
     "op5_host_rules": HOST_RULES_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op10_url_filter": _url_sql(),
+    "op11_collocations": COLLOCATIONS_SQL, "op13_fill_in_middle": FILL_SQL,
 }
