@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -117,28 +118,37 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
     return q[keep], r[keep], score[keep]
 
 
-def band_of(v: Column) -> Column:
-    """Twice the binary logarithm of the norm, rounded; squares of very small or large components stay finite."""
-    top = F.array_max(F.transform(v, lambda x: F.abs(x).cast("double")))
-    rest = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))
-    return F.round(2 * (F.log2(top) + F.log2(rest) / 2)).cast("int")
+def _bands(x: np.ndarray) -> np.ndarray:
+    """Twice the binary logarithm of the norms, rounded; squares of very small or large components stay finite."""
+    top = np.abs(x).max(1)
+    return np.round(2 * np.log2(top) + np.log2(((x / top[:, None]) ** 2).sum(1))).astype(np.int32)
 
 
 def usable(vectors: DataFrame, id_col: str, vector: str, is_query: Column) -> DataFrame:
-    """(id, v, band, asks): rows with an id and a vector of finite components, not all zero, of the commonest length
-    (ties to the shorter)."""
-    v = F.col("v")
-    ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    """(id, v, asks, dims, band): rows with an id and a vector of finite components, not all zero."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == n)
+                x = _matrix(batch.column(1).take(pa.array(at)), n)  # a null component becomes nan
+                good = np.isfinite(x).all(1) & (x != 0).any(1)
+                rows = batch.take(pa.array(at[good]))
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, pa.array(np.full(int(good.sum()), n, np.int32)), pa.array(_bands(x[good]))],
+                    names=["id", "v", "asks", "dims", "band"],
+                )
+
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.where("id IS NOT NULL AND v IS NOT NULL").where(ok)
-    lengths = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(1).collect()
-    return rows.where(F.size("v") == (lengths[0].dims if lengths else 0)).withColumn("band", band_of(v))
+    kind = rows.schema["v"].dataType.simpleString()
+    return rows.where("id IS NOT NULL").mapInArrow(run, f"id long, v {kind}, asks boolean, dims int, band int")
 
 
 def first_copies(rows: DataFrame, k: int) -> DataFrame:
     """Rows without those that k + 1 rows of the very same vector and smaller id stand before: they are nobody's
     neighbours. Each task keeps that many a vector before the shuffle."""
-    copy = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    copy = F.row_number().over(W.partitionBy(F.xxhash64("v"), "v").orderBy("id"))
     return rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
 
 
@@ -192,23 +202,21 @@ def index_rows(rows: DataFrame, hasher: Hasher) -> DataFrame:
     return rows.select("id", "v", "band").mapInArrow(run, f"cell long, id long, v {rows.schema['v'].dataType.simpleString()}")
 
 
-def probe_rows(queries: DataFrame, hasher: Hasher, probes: int) -> DataFrame:
-    """(cell, id, v) of every query in every cell that it probes."""
+def probe_rows(queries: DataFrame, hasher: Hasher, start: int, stop: int) -> DataFrame:
+    """(cell, id, v, floor) of every query (id, v, floor) in each of its cells from the `start`-th best to before the
+    `stop`-th."""
 
     def run(batches):
         size = max(1, (1 << 22) // (len(hasher.bands) * hasher.tables * hasher.axes[0] * hasher.axes[1]))
         for batch in batches:
             table = _matrix(batch.column(1), hasher.dims)
             for i in range(0, len(table), size):
-                score = hasher.scores(_units(table[i : i + size]))
-                n = min(probes, score.shape[1])
-                cells = np.argpartition(-score, n - 1, 1)[:, :n] if n < score.shape[1] else np.tile(np.arange(n), (len(score), 1))
-                who = pa.array(i + np.repeat(np.arange(len(score)), n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel()), batch.column(0).take(who), batch.column(1).take(who)], names=["cell", "id", "v"]
-                )
+                cells = np.argsort(-hasher.scores(_units(table[i : i + size])), 1, kind="stable")[:, start:stop]
+                who = pa.array(i + np.repeat(np.arange(len(cells)), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), *(c.take(who) for c in batch.columns)], names=["cell", "id", "v", "floor"])
 
-    return queries.select("id", "v").mapInArrow(run, f"cell long, id long, v {queries.schema['v'].dataType.simpleString()}")
+    kind = queries.schema["v"].dataType.simpleString()
+    return queries.select("id", "v", "floor").mapInArrow(run, f"cell long, id long, v {kind}, floor double")
 
 
 class _Best:
@@ -234,8 +242,9 @@ class _Best:
 
 
 def search_cells(cells: DataFrame, dims: int, k: int) -> DataFrame:
-    """Rows sorted by (cell, part, role, id), data before queries, to (q, id, score): a cell part's data are about
-    a leaf of rows, held once; its queries stream by in portions."""
+    """Rows (cell, part, role, id, v, floor) sorted by cell, part and role, data before queries, to (q, id, score): the k
+    best of a cell part for each query, as far as they reach its floor. A part's data are about a leaf of rows, held once;
+    its queries stream by in portions."""
 
     def run(batches):
         best = _Best(k)
@@ -243,32 +252,33 @@ def search_cells(cells: DataFrame, dims: int, k: int) -> DataFrame:
 
         def answer():
             if data and asking:
-                ids, table = np.concatenate([x for x, _ in data]), np.concatenate([x for _, x in data])
-                numbers, vectors = np.concatenate([x for x, _ in asking]), np.concatenate([x for _, x in asking])
+                ids, table = (np.concatenate(x) for x in zip(*data))
+                numbers, vectors, floors = (np.concatenate(x) for x in zip(*asking))
                 for i in range(0, len(ids), 8192):  # hashed parts may exceed the leaf a little
                     q, r, score = nearest(vectors, numbers, table[i : i + 8192], ids[i : i + 8192], k)
-                    best.add(numbers[q], ids[i + r], score)
+                    high = ~(score < floors[q])  # no floor is nan
+                    best.add(numbers[q[high]], ids[i + r[high]], score[high])
             asking.clear()
 
         for batch in batches:
             cell, part, role, ids = (batch.column(i).to_numpy() for i in range(4))
-            table = _matrix(batch.column(4), dims)
+            table, floors = _matrix(batch.column(4), dims), batch.column(5).to_numpy(zero_copy_only=False)
             new = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])) + 1
             edges = [0, *new.tolist(), len(cell)]
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
-                now = (cell[a], part[a])
-                if now != key:
+                if (cell[a], part[a]) != key:
                     answer()
                     data.clear()
-                    key = now
+                    key = (cell[a], part[a])
                 if role[a] == 0:
                     data.append((ids[a:b], table[a:b]))
                 elif data:
                     for i in range(a, b, 1024):
-                        asking.append((ids[i : min(b, i + 1024)], table[i : min(b, i + 1024)]))
-                        if sum(len(x) for x, _ in asking) >= 1024:
+                        j = min(b, i + 1024)
+                        asking.append((ids[i:j], table[i:j], floors[i:j]))
+                        if sum(len(x[0]) for x in asking) >= 1024:
                             answer()
                 if best.n > 500_000:
                     yield best.rows()
@@ -296,7 +306,8 @@ def search(
     used once cells would hold over `per_cell` rows on average. `sample` queries, those of the least hashed id, are
     compared with all rows; the number of probes is the least that reaches `target` of their neighbours. Cells are split
     into parts of about as many rows as a task handles of the others, and a probing query is sent to each part, so a cell
-    with a third of all rows is many tasks. Of rows of one vector the k + 1 smallest ids are kept: no other can be found.
+    with a third of all rows is many tasks. An eighth of the probes goes first; the others answer only with rows that
+    reach what those found. Of rows of one vector the k + 1 smallest ids are kept: no other can be found.
 
     Rows without an id, or whose vector is null, empty, zero, has a null or non-finite component or is not of the
     commonest length, take no part. Repeated ids are compared each and reported once, with the best score; an id is
@@ -304,31 +315,32 @@ def search(
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector, is_query)
-    wanted = rows.where("asks").select("id", "v")
-    kept = cut_lineage(first_copies(rows.select("id", "v", "band"), k))
-    census = kept.groupBy("band", F.size("v").alias("dims")).agg(F.count("*").alias("n")).collect()  # a few hundred bands at most
+    lengths = rows.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not census:
+    if not lengths:
+        return empty
+    dims = lengths[0].dims
+    rows = rows.where(F.col("dims") == dims).drop("dims")
+    wanted = cut_lineage(rows.where("asks").select("id", "v"))
+    kept = cut_lineage(first_copies(rows.select("id", "v", "band"), k))
+    census = kept.groupBy("band").agg(F.count("*").alias("n")).collect()  # some hundred bands at most
+    drawn = wanted.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    if not drawn:
         return empty
-    dims, n = census[0].dims, sum(r.n for r in census)
-    bands = tuple(sorted((r.band for r in census), reverse=True))
+    n = sum(r.n for r in census)
     width = 1 << max(0, dims - 1).bit_length()
     spare = n / per_cell / (2 * width)
     second = 0 if spare < 2 else min(width, 1 << round(np.log2(spare / 2)))
-    hasher = Hasher(dims, tables, second, bands, seed)
+    hasher = Hasher(dims, tables, second, tuple(sorted((r.band for r in census), reverse=True)), seed)
 
-    drawn = wanted.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    if not drawn:
-        return empty
     sample_rows = [(r.id, np.array(r.v, np.float64)) for r in drawn]
     by_score = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
-    found = exact_nearest(kept, sample_rows, k).withColumn("at", by_score).where(F.col("at") <= k)
-    found = found.select("q", "v", band_of(F.col("v")).alias("band")).collect()
-    near, near_bands = [[] for _ in drawn], [[] for _ in drawn]
+    found = exact_nearest(kept, sample_rows, k).withColumn("at", by_score).where(F.col("at") <= k).select("q", "v").collect()
+    near = [[] for _ in drawn]
     for r in found:
         near[r.q].append(r.v)
-        near_bands[r.q].append(r.band)
-    probes = probes_for(hasher, np.array([v for _, v in sample_rows]), [np.array(x, np.float64) for x in near], near_bands, target)
+    near = [np.array(x, np.float64).reshape(-1, dims) for x in near]
+    probes = probes_for(hasher, np.array([v for _, v in sample_rows]), near, list(map(_bands, near)), target)
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     leaf = int(min(8192, max(256, n * tables // (4 * tasks))))
@@ -337,9 +349,19 @@ def search(
     parts = cut_lineage(sizes.select("cell", F.ceil(F.col("n") / leaf).cast("int").alias("parts")))
     salt = F.pmod(F.xxhash64("id", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    placed = data.join(parts, "cell", "left").select("cell", salt.alias("part"), F.lit(0).alias("role"), "id", "v")
-    probing = probe_rows(wanted, hasher, probes).join(parts, "cell", "left")
-    probing = probing.select("cell", every.alias("part"), F.lit(1).alias("role"), "id", "v")
-    cells = placed.unionAll(probing).repartition("cell", "part").sortWithinPartitions("cell", "part", "role")
-    best = best_of(search_cells(cells, dims, k), k)
+    none = F.lit(None).cast("double")
+    placed = data.join(parts, "cell", "left").select("cell", salt.alias("part"), F.lit(0).alias("role"), "id", "v", none.alias("floor"))
+
+    def searched(queries: DataFrame, start: int, stop: int) -> DataFrame:
+        probing = probe_rows(queries, hasher, start, stop).join(parts, "cell", "left")
+        probing = probing.select("cell", every.alias("part"), F.lit(1).alias("role"), "id", "v", "floor")
+        cells = placed.unionAll(probing).repartition("cell", "part").sortWithinPartitions("cell", "part", "role")
+        return search_cells(cells, dims, k)
+
+    # the best cells first: what they hold is the floor for all others, which then answer with few rows
+    begin = max(1, probes // 8)
+    early = cut_lineage(best_of(searched(wanted.withColumn("floor", none), 0, begin), k).drop("rank"))
+    floors = early.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    asking = wanted.join(floors.withColumnRenamed("q", "id"), "id", "left")
+    best = best_of(early.unionAll(searched(asking, begin, probes)) if probes > begin else early, k)
     return best.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
