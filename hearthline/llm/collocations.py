@@ -4,8 +4,8 @@ Only windows of the longest order are counted: every word starts one, padded whe
 the window's columns then sums them to every shorter prefix, and so counts phrases of all lengths (each occurrence of a
 phrase is the prefix of exactly one window) and, at its top, all words of a language.
 
-A window is padded earlier where it cannot matter: a sketch of fixed size counts hashed word pairs first, never too low, and
-a pair that even so stays below the least count stands in no candidate and in no part of one.
+A window is padded earlier where it cannot matter: sketches count hashed words and pairs, then longer runs of pairs that
+passed, never too low. A run that even so stays below the least count is no candidate and stands in none.
 """
 
 from __future__ import annotations
@@ -79,14 +79,18 @@ class Words:
         salts = np.array([digest(x.encode()) for x in self.langs] or [0], np.uint64)
         self.hash = hashes[self.code] * _MIX[0] + salts[self.lang]
 
-    def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cell of every word, and of every word with its next one (where `go`)."""
+    def cells(self, bits: int, orders: int) -> Iterator[np.ndarray]:
+        """For 1, 2, .. `orders` words, the cell of the run that starts at each word (of no meaning beyond a piece)."""
         shift = np.uint64(64 - bits)
         one = self.hash ^ (self.hash >> np.uint64(31))
-        after = np.append(one[1:], np.uint64(0))[: self.n]
-        two = (one * _MIX[1]) ^ (after * _MIX[2])
-        two ^= two >> np.uint64(29)
-        return (one * _MIX[1]) >> shift, (two * _MIX[0]) >> shift
+        run = one
+        for k in range(orders):
+            if k:
+                after = np.zeros_like(one)
+                after[: max(0, self.n - k)] = one[k:]
+                run = (run * _MIX[1]) ^ (after * _MIX[2])
+                run ^= run >> np.uint64(29)
+            yield (run * _MIX[0]) >> shift
 
 
 def _read(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Words]:
@@ -98,20 +102,55 @@ def _read(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Words]:
     return map(Words, _portions(texts(), size))
 
 
-def frequent_cells(docs: DataFrame, least: int, bits: int, portion: int) -> bytes:
-    """A bit a cell: whether the words and word pairs that hash there may stand `least` times. (lang, text) rows.
+class Sketches:
+    """Bitmaps of the cells that may stand often enough: `short` for words and pairs, `long` for longer runs."""
+
+    def __init__(self, bits: int, short: bytes, long: bytes | None = None):
+        self.bits = bits
+        self.flags = [np.frombuffer(x, np.uint8) for x in (short, long) if x is not None]
+
+    def hit(self, k: int, cells: np.ndarray) -> np.ndarray:
+        flags = self.flags[0 if k <= 2 else 1]
+        return (flags[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _follow(words: Words, k: int) -> np.ndarray:
+    """Whether the word k - 2 places on and the one after it stand in one piece; none does beyond the end."""
+    out = np.zeros(words.n, bool)
+    out[: max(0, words.n - k + 2)] = words.go[k - 2 :]
+    return out
+
+
+def frequent_cells(docs: DataFrame, least: int, bits: int, portion: int, order: int, known=None) -> bytes:
+    """A bit a cell: whether runs of words that hash there may stand `least` times. (lang, text) rows. Without `known`
+    (a broadcast of the first bitmap) words and pairs are counted, with it runs of three to `order` words whose pairs are
+    all known.
 
     A task counts in one array, up to `least` a cell; the arrays go out in blocks, and whoever gets a block adds its rows
     up as they stream by. What comes back has 2^bits / 8 bytes, whatever the corpus.
     """
     top = min(least, 255)
 
+    def found(words: Words) -> Iterator[np.ndarray]:
+        sketch = Sketches(bits, known.value) if known else None
+        alive = np.ones(words.n, bool)
+        for k, cells in enumerate(words.cells(bits, order if known else 2), 1):
+            if k > 1:
+                alive = alive & _follow(words, k)
+            if sketch and k == 2:
+                pair = np.append(sketch.hit(2, cells), np.zeros(order, bool))
+                alive = alive & pair[: words.n]
+            elif sketch and k > 2:
+                alive = alive & pair[k - 2 : k - 2 + words.n]
+            if not sketch or k > 2:
+                yield cells[alive]
+
     def count(batches):
         counts = np.zeros(1 << bits, np.uint8)
         for words in _read(batches, portion):
-            one, two = words.cells(bits)
-            cells, n = np.unique(np.concatenate([one, two[words.go]]), return_counts=True)
-            counts[cells] = np.minimum(counts[cells] + n, top)
+            for cells in found(words):
+                cells, n = np.unique(cells, return_counts=True)
+                counts[cells] = np.minimum(counts[cells] + n, top)
         used = np.flatnonzero(counts.reshape(-1, BLOCK).any(1))
         for i in range(0, len(used), 1000):
             some = used[i : i + 1000]
@@ -141,43 +180,64 @@ def frequent_cells(docs: DataFrame, least: int, bits: int, portion: int) -> byte
     return bytes(out)
 
 
-def windows(docs: DataFrame, order: int, filter_, bits: int, portion: int) -> DataFrame:
-    """Rows (lang, w1 .. w<order>, n): the padded longest windows, equal ones of a portion counted together. Words too
-    rare for any phrase are counted in a window of no words."""
+def _window_rows(words: Words, sketch: Sketches, order: int) -> pa.Table:
+    """The windows of one portion with their counts."""
+    langs = pa.array(words.langs, pa.string())
+    columns, codes = [], np.full((order, words.n), -1, np.int64)
+    alive = np.ones(words.n, bool)
+    for k, cells in enumerate(words.cells(sketch.bits, order), 1):
+        if k > 1:
+            alive = alive & _follow(words, k)
+        alive = alive & sketch.hit(k, cells)
+        at = np.flatnonzero(alive)
+        codes[k - 1, at] = words.code[at + k - 1]
+        if k == 1:
+            known = alive
+    rare = np.bincount(words.lang[~known], minlength=len(words.langs))
+    lang, codes = words.lang[known], codes[:, known]
+    keys = (lang.astype(np.uint64) + np.uint64(1)) * _MIX[1]
+    for column in codes:
+        keys = (keys ^ (column + 1).astype(np.uint64)) * _MIX[0]
+        keys ^= keys >> np.uint64(29)
+    _, first, place, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    if not ((lang == lang[first][place]).all() and (codes == codes[:, first[place]]).all()):
+        first, n = np.arange(len(lang)), np.ones(len(lang), np.int64)  # two windows share a key: count none together
+    columns = [words.names.take(pa.array(c[first], pa.int64(), mask=c[first] < 0)) for c in codes]
+    rows = np.flatnonzero(rare)
+    blank = [pa.nulls(len(rows), pa.string())] * order
+    names = ["lang", *(f"w{k + 1}" for k in range(order)), "n"]
+    return pa.concat_tables([
+        pa.Table.from_arrays([langs.take(pa.array(lang[first])), *columns, pa.array(n)], names=names),
+        pa.Table.from_arrays([langs.take(pa.array(rows)), *blank, pa.array(rare[rows])], names=names),
+    ])
+
+
+def windows(docs: DataFrame, order: int, short, long, bits: int, portion: int, rows_at_once: int = 400_000) -> DataFrame:
+    """Rows (lang, w1 .. w<order>, n): the padded longest windows, equal ones of a task counted together. Words too rare
+    for any phrase are counted in a window of no words. `short` and `long` are broadcasts of `frequent_cells`."""
 
     def run(batches):
-        flags = np.frombuffer(filter_.value, np.uint8)
-        hit = lambda cells: (flags[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        sketch, held, n, limit = Sketches(bits, short.value, long.value), [], 0, rows_at_once
+
+        def together() -> pa.Table:
+            table = pa.concat_tables(held)
+            names = [c for c in table.column_names if c != "n"]
+            return table.group_by(names, use_threads=False).aggregate([("n", "sum")]).rename_columns([*names, "n"])
+
         for words in _read(batches, portion):
-            one, two = words.cells(bits)
-            known, go = hit(one), words.go & hit(two)
-            at = np.flatnonzero(known)
-            rare = np.bincount(words.lang[~known], minlength=len(words.langs))
-            columns, alive = np.full((order, len(at)), -1, np.int64), np.ones(len(at), bool)
-            for k in range(order):
-                if k:
-                    alive = alive & go[np.minimum(at + k - 1, words.n - 1)]
-                columns[k, alive] = words.code[at[alive] + k]
-            keys = words.lang[at].astype(np.uint64)
-            for column in columns:
-                keys = (keys ^ (column + 1).astype(np.uint64)) * _MIX[0]
-                keys ^= keys >> np.uint64(29)
-            _, first, place, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-            if len(at) and not ((columns == columns[:, first[place]]).all() and (words.lang[at] == words.lang[at[first]][place]).all()):
-                first, n = np.arange(len(at)), np.ones(len(at), np.int64)  # two windows share a key: count none together
-            for i in range(0, len(first), 50_000):
-                some = first[i : i + 50_000]
-                chosen = [words.names.take(pa.array(c[some], pa.int64(), mask=c[some] < 0)) for c in columns]
-                langs = pa.array(words.langs, pa.string()).take(pa.array(words.lang[at[some]]))
-                yield pa.RecordBatch.from_arrays([langs, *chosen, pa.array(n[i : i + 50_000])], names=names)
-            rows = np.flatnonzero(rare)
-            blank = [pa.nulls(len(rows), pa.string())] * order
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([words.langs[i] for i in rows.tolist()], pa.string()), *blank, pa.array(rare[rows])], names=names
-            )
+            held.append(_window_rows(words, sketch, order))
+            n += len(held[-1])
+            if n > limit:
+                held = [together()]
+                n = len(held[0])
+                if n > limit // 2:  # mostly different ones: send them on
+                    yield from held[0].to_batches(50_000)
+                    held, n = [], 0
+        if held:
+            yield from together().to_batches(50_000)
 
-    names = ["lang", *(f"w{k + 1}" for k in range(order)), "n"]
-    return docs.mapInArrow(run, ", ".join(f"{c} {'long' if c == 'n' else 'string'}" for c in names))
+    columns = [f"w{k + 1} string" for k in range(order)]
+    return docs.mapInArrow(run, ", ".join(["lang string", *columns, "n long"]))
 
 
 def phrase_counts(docs: DataFrame, order: int = 5, least: int = 100, lang: str = "lang", text: str = "text", portion: int = 8 << 20) -> DataFrame:
@@ -186,10 +246,12 @@ def phrase_counts(docs: DataFrame, order: int = 5, least: int = 100, lang: str =
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(26, max(16, int(size // 32).bit_length()))
-    kept = spark.sparkContext.broadcast(frequent_cells(rows, least, bits, portion))
+    bits = min(28, max(16, int(size // 32).bit_length()))
+    share = spark.sparkContext.broadcast
+    short = share(frequent_cells(rows, least, bits, portion, order))
+    long = share(frequent_cells(rows, least, bits, portion, order, short))
     columns = [f"w{k + 1}" for k in range(order)]
-    counted = windows(rows, order, kept, bits, portion).rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("summed"))
+    counted = windows(rows, order, short, long, bits, portion).rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("summed"))
     # a bit of `summed` is set for each column that is summed over
     level = counted.where("lang IS NOT NULL").withColumn("k", order - F.bit_count("summed"))
     full = F.array(*columns)

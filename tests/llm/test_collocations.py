@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from hearthline.llm import collocations as co
@@ -70,20 +71,42 @@ def test_shorter_orders_and_products_beyond_64_bits(spark, made):
     assert big.select(co.exact_score().alias("s")).first().s == 1000 * 4 * 10**15 * 9 * 10**15 // (7 * 8 * 10**30)
 
 
-def test_colliding_window_keys_change_nothing(spark, made, monkeypatch):
-    portion = [("en", "a b c. b c d. a b c".encode()), ("fr", b"a b c")]
-    words = co.Words(portion)
+def test_words_of_a_portion():
+    words = co.Words([("en", b"a b c. b c d. a b c"), ("fr", b"a b c")])
     assert words.n == 12 and words.langs == ["en", "fr"]
     assert [bool(x) for x in words.go] == [True, True, False] * 4
 
 
+def full(spark, bits=16):
+    return spark.sparkContext.broadcast(b"\xff" * ((1 << bits) // 8))
+
+
+def test_equal_windows_of_a_task_are_one_row(spark):
+    docs = spark.createDataFrame([(x, b"a b c. " * 200) for x in ("de", "en", "es", "fr")], "lang string, text binary").coalesce(1)
+    got = co.windows(docs, 5, full(spark), full(spark), 16, 100).where("w1 IS NOT NULL")
+    assert got.count() == 12 and {r.n for r in got.collect()} == {200}
+
+
+def test_colliding_window_keys_change_nothing(monkeypatch):
+    monkeypatch.setattr(co, "_MIX", (np.uint64(0),) * 3)  # all keys and all cells are equal
+    words = co.Words([("en", b"a b c. b c"), ("fr", b"a b")])
+    got = co._window_rows(words, co.Sketches(6, b"\xff" * 8, b"\xff" * 8), 3)
+    assert got.num_rows == 7 and got.column("n").to_pylist() == [1] * 7
+    assert {(r["lang"], r["w1"], r["w2"], r["w3"]) for r in got.to_pylist()} == {
+        ("en", "a", "b", "c"), ("en", "b", "c", None), ("en", "c", None, None), ("fr", "a", "b", None), ("fr", "b", None, None)
+    }
+
+
 def test_a_full_sketch_only_prunes_less(spark, made):
     docs = spark.createDataFrame(made, "lang string, text string")
-    rows = docs.selectExpr("coalesce(lang, 'und') lang", "coalesce(text, '') text").selectExpr("lang", "cast(text as binary) text")
-    full = spark.sparkContext.broadcast(b"\xff" * (1 << 13))
-    every = co.windows(rows, 5, full, 16, 1000).groupBy("lang").sum("n").collect()
-    kept = spark.sparkContext.broadcast(co.frequent_cells(rows, 50, 16, 1000))
-    assert sorted(every) == sorted(co.windows(rows, 5, kept, 16, 1000).groupBy("lang").sum("n").collect())
+    rows = docs.selectExpr("coalesce(lang, 'und') lang", "cast(coalesce(text, '') as binary) text")
+    short = spark.sparkContext.broadcast(co.frequent_cells(rows, 50, 16, 1000, 5))
+    long = spark.sparkContext.broadcast(co.frequent_cells(rows, 50, 16, 1000, 5, short))
+    every, kept = (co.windows(rows, 5, a, b, 16, 1000, 40) for a, b in ((full(spark), full(spark)), (short, long)))
+    total = lambda df: sorted(df.groupBy("lang").sum("n").collect())
+    assert total(every) == total(kept)
+    often = lambda df, k: sorted(map(str, df.where(f"w{k} IS NOT NULL").groupBy("lang", *[f"w{i + 1}" for i in range(k)]).sum("n").where("`sum(n)` >= 50").collect()))
+    assert all(often(every, k) == often(kept, k) for k in range(1, 6)) and often(kept, 3)
 
 
 def test_empty_table(spark):
