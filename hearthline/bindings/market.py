@@ -310,10 +310,12 @@ CTES: dict[str, str] = {
         SELECT DISTINCT project_id, 'HUB-' || (1 + substr(project_id, 5)::BIGINT % 5) AS hub
         FROM outcomes""",
     "anchored": """
-        SELECT d.decision_id, d.household_id, d.as_of, h.hub AS destination_anchor_id,
-               (SELECT max(row(x.observed_at, x.source_id, x.anchor_id)) FROM anchors x
-                WHERE x.household_id = d.household_id AND x.observed_at <= d.as_of)[3] AS origin
-        FROM decisions d JOIN hub_of h USING (project_id)""",
+        SELECT d.decision_id, any_value(d.household_id) AS household_id, any_value(d.as_of) AS as_of,
+               any_value(h.hub) AS destination_anchor_id,
+               (max(row(x.observed_at, x.source_id, x.anchor_id)) FILTER (x.household_id IS NOT NULL))[3] AS origin
+        FROM decisions d JOIN hub_of h USING (project_id)
+        LEFT JOIN anchors x ON x.household_id = d.household_id AND x.observed_at <= d.as_of
+        GROUP BY d.decision_id""",
     "timed": """
         SELECT a.decision_id, max(row(t.observed_at, t.source_id, t.travel_time_min)) AS best
         FROM anchored a JOIN travel t ON t.origin_anchor_id = a.origin
@@ -571,6 +573,13 @@ CTES: dict[str, str] = {
 }
 
 
+#: Steps that are worked out once, however often later ones read them.
+ONCE = {
+    "canonical", "obs", "anchors", "outcomes", "asofs", "active_units", "active_offers", "alternatives", "decisions",
+    "open_decisions", "latest_obs", "anchored", "timed", "wide_obs", "examples", "x_rows", "p_rows", "sets_scored",
+}
+
+
 def sql(final: str) -> str:
     """A query text with exactly the CTEs it needs, in dependency order."""
     needed: set[str] = set()
@@ -582,7 +591,8 @@ def sql(final: str) -> str:
                 visit(CTES[name])
 
     visit(final)
-    body = ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in needed)
+    kind = {n: "MATERIALIZED " if n in ONCE else "" for n in CTES}
+    body = ",\n".join(f"{n} AS {kind[n]}({CTES[n]})" for n in CTES if n in needed)
     return f"WITH {body}\n{final}" if body else final
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 from uuid import uuid4
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -1235,7 +1236,73 @@ def _fit_sets(m: Market) -> DataFrame:
     return cut_lineage(logit.training_sets(examples(m)))
 
 
-@query("logit_fit", None, {"weight": 6, "log_loss": 6})
+def _poisson_sql(key: str, replicate: str, seed: int = 42) -> str:
+    """The Poisson(1) count of a set in a replicate: splitmix64 over the set's hash, then the inverse distribution."""
+    full = "18446744073709551616::UHUGEINT"
+
+    def mix(x: str) -> str:
+        z = f"(({x})::UHUGEINT + 11400714819323198485::UHUGEINT) % {full}"
+        for shift, factor in ((30, 13787848793156543929), (27, 10723151780598845931)):
+            z = f"list_transform([{z}], lambda z: (xor(z, z // {1 << shift}::UHUGEINT) * {factor}::UHUGEINT) % {full})[1]"
+        return f"list_transform([{z}], lambda z: xor(z, z // {1 << 31}::UHUGEINT))[1]"
+
+    start = mix(f"{seed}::UHUGEINT")
+    base = mix(f"xor(('0x' || md5({key})[1:15])::UBIGINT::UHUGEINT, {start})")
+    u = f"({mix(f'xor({base}, {mix(replicate)})')} // 2048::UHUGEINT)::DOUBLE / 9007199254740992.0::DOUBLE"
+    cdf = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 25.0)])))
+    return f"list_transform([{u}], lambda u: " + " + ".join(f"(u >= {x!r}::DOUBLE)::INT" for x in map(float, cdf)) + ")[1]"
+
+
+def _newton_sql(rows: str, replicates: int = 0, l2: float = 0.001, tol: float = 1e-8) -> str:
+    """(r, w, loss, epochs): the logit optimum by Newton steps as a recursion, r = -1 for all rows once, 0 and up for
+    bootstrap replicates. A step solves its eight equations by Gauss-Jordan elimination over a list of 72 numbers."""
+    k = range(8)
+    pairs = [(i, j) for i in k for j in k if i <= j]
+    start = "[" + ", ".join(f"{w}::DOUBLE" for w in DEFAULT_WEIGHTS.values()) + "]"
+    utility_ = " + ".join(f"w[{i + 1}] * x{i}" for i in k)
+    at = {(i, j): f"h{min(i, j)}{max(i, j)} / n" + (f" + {l2}::DOUBLE" if i == j else "") for i in k for j in k}
+    augmented = ", ".join(", ".join([*(at[i, j] for j in k), f"g[{i + 1}]"]) for i in k)
+    solved = f"""list_reduce(list_concat([[{augmented}]], list_transform(range(8), lambda p: [p::DOUBLE])), lambda a, p:
+        list_transform(range(72), lambda t: CASE WHEN t // 9 = p[1] THEN a[t + 1] / a[p[1]::INT * 10 + 1]
+          ELSE a[t + 1] - a[(t // 9) * 9 + p[1]::INT + 1] * a[p[1]::INT * 9 + t % 9 + 1] / a[p[1]::INT * 10 + 1] END))"""
+    draws = "SELECT -1 AS r, decision_id, 1 AS c FROM (SELECT DISTINCT decision_id FROM fit_rows)" if not replicates else (
+        f"SELECT * FROM (SELECT r, decision_id, {_poisson_sql('decision_id', 'r')} AS c FROM "
+        f"(SELECT DISTINCT decision_id FROM fit_rows), range({replicates}) t(r)) WHERE c > 0"
+    )
+    return f"""
+    WITH RECURSIVE fit_rows AS MATERIALIZED ({rows}), draws AS MATERIALIZED ({draws}),
+      newton AS (
+        SELECT 0 AS epochs, r, {start} AS w, {start} AS base, 0::DOUBLE AS loss, false AS done FROM (SELECT DISTINCT r FROM draws)
+        UNION ALL
+        SELECT epochs, r, list_transform(range(1, 9), lambda i: w[i] + solved[9 * i]), w, loss / n,
+               list_max(list_transform(g, lambda x: abs(x))) <= {tol}
+        FROM (SELECT *, {solved} AS solved FROM (
+          SELECT *, [{', '.join(f'g{i} / n - {l2}::DOUBLE * w[{i + 1}]' for i in k)}] AS g FROM (
+            SELECT r, any_value(epochs) + 1 AS epochs, any_value(w) AS w, sum(c)::DOUBLE AS n, sum(c * -ln(greatest(eh / z, 1e-15::DOUBLE))) AS loss,
+                   {', '.join(f'sum(c * (c{i} - s{i} / z)) AS g{i}' for i in k)},
+                   {', '.join(f'sum(c * (s{i}{j} / z - s{i} / z * s{j} / z)) AS h{i}{j}' for i, j in pairs)}
+            FROM (SELECT r, decision_id, any_value(epochs) AS epochs, any_value(w) AS w, any_value(c) AS c, sum(e) AS z, max(CASE WHEN hit THEN e END) AS eh,
+                         {', '.join(f'max(CASE WHEN hit THEN x{i} END) AS c{i}, sum(e * x{i}) AS s{i}' for i in k)},
+                         {', '.join(f'sum(e * x{i} * x{j}) AS s{i}{j}' for i, j in pairs)}
+                  FROM (SELECT n.r, n.epochs, n.w, d.c, f.*, exp({utility_}) AS e
+                        FROM newton n JOIN draws d ON d.r = n.r JOIN fit_rows f ON f.decision_id = d.decision_id
+                        WHERE NOT n.done AND n.epochs < 50)
+                  GROUP BY r, decision_id)
+            GROUP BY r))))
+    SELECT r, base AS w, loss, epochs, done FROM newton QUALIFY row_number() OVER (PARTITION BY r ORDER BY epochs DESC) = 1"""
+
+
+X_SQL = ", ".join(f"x{i}" for i in range(8))
+FIT_ROWS_SQL = f"SELECT decision_id, alt_order = chosen AS hit, {X_SQL} FROM x_rows WHERE chosen IS NOT NULL"
+NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in DEFAULT_WEIGHTS) + "]"
+
+
+@query(
+    "logit_fit",
+    f"""SELECT {NAMES_SQL}[i] AS feature, w[i] AS weight, loss AS log_loss, epochs, done AS converged
+        FROM ({_newton_sql(FIT_ROWS_SQL)}), range(1, 9) t(i)""",
+    {"weight": 6, "log_loss": 6},
+)
 def _(m):
     fit = logit.logit_fit(_fit_sets(m))
     return m.spark.createDataFrame(
@@ -1244,13 +1311,25 @@ def _(m):
     )
 
 
-@query("bootstrap_fit", None, {"weight": 6})
+BOOTSTRAP_SQL = f"""SELECT r AS replicate, {NAMES_SQL}[i] AS feature, w[i] AS weight
+    FROM ({_newton_sql(FIT_ROWS_SQL, 100)}), range(1, 9) t(i)"""
+
+
+@query("bootstrap_fit", BOOTSTRAP_SQL, {"weight": 6})
 def _(m):
     samples = logit.bootstrap_fit(_fit_sets(m))
     return logit.parameter_frame(m.spark, samples)
 
 
-@query("coefficient_intervals", None, {"estimate": 6, "lower": 6, "upper": 6})
+@query(
+    "coefficient_intervals",
+    f"""SELECT b.feature, any_value(f.weight) AS estimate, quantile_cont(b.weight, 0.025) AS lower,
+               quantile_cont(b.weight, 0.975) AS upper, count(*) AS bootstrap_samples,
+               quantile_cont(b.weight, 0.025) <= 0 AND quantile_cont(b.weight, 0.975) >= 0 AS crosses_zero
+        FROM ({BOOTSTRAP_SQL}) b JOIN (SELECT {NAMES_SQL}[i] AS feature, w[i] AS weight
+          FROM ({_newton_sql(FIT_ROWS_SQL)}), range(1, 9) t(i)) f USING (feature) GROUP BY 1""",
+    {"estimate": 6, "lower": 6, "upper": 6},
+)
 def _(m):
     sets = _fit_sets(m)
     fit = logit.logit_fit(sets)
@@ -1989,7 +2068,23 @@ def _calibration(m: Market) -> calibration.Calibration:
     )
 
 
-@query("calibrate", None, {"train_log_loss": 6, "holdout_log_loss": 6})
+SPLIT_SQL = """SELECT decision_id, row_number() OVER (ORDER BY as_of, md5(decision_id)) <= count(*) OVER ()
+    - greatest(1, round_even(count(*) OVER () * 0.2, 0)) AS train FROM examples WHERE chosen IS NOT NULL"""
+
+
+@query(
+    "calibrate",
+    f"""WITH split AS MATERIALIZED ({SPLIT_SQL}), fitted AS MATERIALIZED ({_newton_sql(
+        f"SELECT decision_id, alt_order = chosen AS hit, {X_SQL} FROM x_rows WHERE decision_id IN (SELECT decision_id FROM split WHERE train)"
+    )}), scored AS (
+          SELECT decision_id, -ln(greatest(max(CASE WHEN alt_order = chosen THEN e END) / sum(e), 1e-15)) AS loss
+          FROM (SELECT x.*, exp({' + '.join(f'w[{i + 1}] * x{i}' for i in range(8))}) AS e FROM x_rows x, fitted
+                WHERE chosen IS NOT NULL) GROUP BY 1)
+        SELECT count(*) AS historical_choices, count_if(train)::BIGINT AS train_examples,
+               count_if(NOT train)::BIGINT AS holdout_examples, avg(loss) FILTER (train) AS train_log_loss,
+               avg(loss) FILTER (NOT train) AS holdout_log_loss FROM scored JOIN split USING (decision_id)""",
+    {"train_log_loss": 6, "holdout_log_loss": 6},
+)
 def _(m):
     c = _calibration(m)
     return m.spark.createDataFrame(

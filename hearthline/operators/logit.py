@@ -45,7 +45,8 @@ def training_sets(examples: DataFrame, *, set_id: str = "decision_id") -> DataFr
     )
     return examples.where(F.col("chosen").isNotNull()).select(
         F.col(set_id).alias("set_id"),
-        F.xxhash64(set_id).alias("set_hash"),
+        # 60 bits of a hash that other engines have, so they can repeat the bootstrap draws
+        F.conv(F.substring(F.md5(F.col(set_id).cast("string")), 1, 15), 16, 10).cast("long").alias("set_hash"),
         F.flatten(vectors).alias("x"),
         F.size("alts").alias("n"),
         "chosen",
