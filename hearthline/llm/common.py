@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_uri(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme: one without is on the cluster's default file system, as Spark itself reads it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+
+
 def plain_words(text: bytes) -> list[bytes]:
     """Lower-cased words of letters, digits and all non-ASCII characters."""
     return text.translate(WORD_TABLE).split()

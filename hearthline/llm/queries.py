@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hearthline.llm import (
     collocations, cross_polytope, decontam, fim, host_rules, licenses, lm, packing, pii, quality, simhash, token_files, url_filter,
 )
-from hearthline.llm.common import table, tokenizer_path
+from hearthline.llm.common import table, tokenizer_path, whole_uri
 from hearthline.session import shared_dir
 
 
@@ -34,9 +34,9 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    manifest = token_files.write_token_files(docs, folder if "://" in folder or folder.startswith("file:") else f"file://{folder}", tokenizer_path())
-    return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    folder = whole_uri(spark, f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
+    manifest = token_files.write_token_files(docs, folder, tokenizer_path())
+    return token_files.read_token_files(manifest, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,29 +39,35 @@ class Writer:
     def __init__(self, out, width: int, frame_ids: int = FRAME_IDS, level: int = 3):
         import zstandard
 
-        self.out, self.width, self.limit = out, width, frame_ids * width
+        self.out, self.width, self.limit = out, width, 4 * frame_ids
         self.pack = zstandard.ZstdCompressor(level=level, write_content_size=True).compress
-        self.buffer, self.frames, self.ids, self.null, self.counts = bytearray(), [], [], [], []
+        self.waiting, self.held, self.frames, self.ids, self.null, self.counts = [], 0, [], [], [], []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray | bytes) -> None:
+        """`ids` as numbers, or as the bytes of little-endian unsigned 32-bit ones."""
+        if not isinstance(ids, bytes):
+            ids = ids.astype("<u4").tobytes()
         self.ids.append(0 if doc_id is None else doc_id)
         self.null.append(doc_id is None)
-        self.counts.append(len(ids))
-        self.buffer += ids.astype(f"<u{self.width}").tobytes()
-        start = 0
-        while len(self.buffer) - start >= self.limit:
-            self._frame(bytes(self.buffer[start : start + self.limit]))
-            start += self.limit
-        del self.buffer[:start]
-
-    def _frame(self, data: bytes) -> None:
+        self.counts.append(len(ids) // 4)
+        self.waiting.append(ids)
+        self.held += len(ids)
+        if self.held >= self.limit:
+            data, start = memoryview(b"".join(self.waiting)), 0
+            while len(data) - start >= self.limit:
+                self._frame(data[start : start + self.limit])
+                start += self.limit
+            self.waiting, self.held = [bytes(data[start:])], len(data) - start
+
+    def _frame(self, data) -> None:
+        data = np.frombuffer(data, "<u4").astype(f"<u{self.width}").tobytes()
         packed = self.pack(data)
         self.out.write(packed)
         self.frames.append((len(packed), len(data), _checksum(data)))
 
     def close(self) -> None:
-        if self.buffer:
-            self._frame(bytes(self.buffer))
+        if self.held:
+            self._frame(b"".join(self.waiting))
         columns = np.array(self.ids, "<i8").tobytes() + np.array(self.null, "u1").tobytes() + np.array(self.counts, "<u8").tobytes()
         body = struct.pack("<BBQ", VERSION, self.width, len(self.ids)) + self.pack(columns)
         self.out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body)
@@ -150,6 +156,7 @@ def write_token_files(
     def write(batches):
         known, writer, stream = encoder(tokenizer, cache), None, None
         width = 2 if known.vocabulary <= 1 << 16 and end_id < 1 << 16 else 4
+        end = int(end_id).to_bytes(4, "little")
         name = f"{folder}/{uuid.uuid4().hex}.tok"
         n = 0
         for batch in batches:
@@ -158,9 +165,9 @@ def write_token_files(
                     store, at = _open(name)
                     stream = store.open_output_stream(at)
                     writer = Writer(stream, width, frame_ids)
-                ids = np.frombuffer(known.encode(value.as_py() or b""), "<u4")
-                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
-                n += len(ids) + 1
+                ids = known.encode(value.as_py() or b"") + end
+                writer.add(doc_id, ids)
+                n += len(ids) // 4
         if writer is not None:
             from pyspark import TaskContext
 
@@ -176,8 +183,9 @@ def write_token_files(
     return cut_lineage(ranged.mapInArrow(write, "file string, part long, n_docs long, n_tokens long, bytes long"))
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian u32).
+def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian u32) and
+    ids_crc32 (of those bytes); `with_ids=False` leaves the ids where they are read.
 
     Reads the files back, one per task. The driver sees one small row per file to add up the starts.
     """
@@ -187,26 +195,29 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         base[file], at = at, at + n
 
     def read(batches):
+        from zlib import crc32
+
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 fs, path = _open(name)
                 with fs.open_input_file(path) as file:
                     reader, rows, held = Reader(file), [], 0
                     for k in range(len(reader.counts)):
-                        doc = None if reader.null[k] else int(reader.doc_ids[k])
-                        rows.append((doc, base[name] + int(reader.starts[k]), int(reader.counts[k]), reader.ids(k).tobytes()))
-                        held += len(rows[-1][3])
+                        doc, ids = None if reader.null[k] else int(reader.doc_ids[k]), np.ascontiguousarray(reader.ids(k))
+                        rows.append((doc, base[name] + int(reader.starts[k]), len(ids), crc32(ids), ids.tobytes() if with_ids else None))
+                        held += ids.nbytes if with_ids else 256
                         if held > 8 << 20:
-                            yield _rows(rows)
+                            yield _rows(rows, with_ids)
                             rows, held = [], 0
                     if rows:
-                        yield _rows(rows)
+                        yield _rows(rows, with_ids)
 
-    return manifest.select("file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    kinds = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    return manifest.select("file").mapInArrow(read, kinds + (", ids binary" if with_ids else ""))
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "n_tokens", "ids"]
-    )
+def _rows(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    names, columns = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"], list(zip(*rows))
+    kinds = [pa.int64()] * 4 + [pa.binary()]
+    n = 5 if with_ids else 4
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns[:n], kinds)], names=names[:n])

@@ -103,6 +103,6 @@ def test_differencing_is_balanced():
         assert len(found) * 1024 <= 1.03 * sum(lengths) + 1024
 
 
-def test_packing_an_empty_table(empty):
+def test_packing_an_empty_table(empty, tmp_path):
     assert packing.pack(empty, tokenizer_path()).count() == 0
-    assert token_files.read_token_files(token_files.write_token_files(empty, "file:///tmp/spark-empty-tokens", tokenizer_path())).count() == 0
+    assert token_files.read_token_files(token_files.write_token_files(empty, f"file://{tmp_path}/tokens", tokenizer_path())).count() == 0
