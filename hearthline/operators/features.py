@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hearthline.functions.hashing import analytics_uuid
 from hearthline.functions.households import PROFILE_COLUMNS, household_from_features
 from hearthline.functions.parsing import one_of, parse_float
-from hearthline.operators.temporal import asof_fill, asof_latest, interval_pairs, last_instant
+from hearthline.operators.temporal import asof_fill, asof_latest, interval_levels, interval_pairs, last_instant
 from hearthline.schemas import (
     FEATURE_EVENT_TYPES, HOUSEHOLD_FIELDS, NON_MODEL_FIELDS, REASON_CODES,
 )
@@ -224,12 +224,14 @@ def travel_time_asof(
         F.col(on[0]).isNotNull() & F.col(on[1]).isNotNull()
     ).distinct()
     usable = travel.where((F.col("mode") == mode) & (F.col("departure_bucket") == bucket))
+    horizon = last_instant(points, at) if horizon is None else horizon
+    levels = interval_levels(usable, start="valid_from", end="valid_to", horizon=horizon, bucket_days=32)
     met = interval_pairs(
         points, usable.drop("mode", "departure_bucket"), on=on, at=at, start="valid_from", end="valid_to",
-        horizon=last_instant(points, at) if horizon is None else horizon,
+        horizon=horizon, levels=levels,
     ).where(F.col("observed_at") <= F.col(at))
     rank = F.struct("observed_at", "source_id", "travel_time_min")
-    return met.groupBy(*on, "_bucket", at).agg(F.max(rank).alias("_b")).select(
+    return met.groupBy(*on, *(["_bucket"] if levels == 1 else []), at).agg(F.max(rank).alias("_b")).select(
         *on, at, F.col("_b.travel_time_min").alias("travel_time_min"),
         F.col("_b.observed_at").alias("travel_observed_at"),
     )

@@ -39,6 +39,45 @@ def last_instant(df: DataFrame, column: str):
     return df.agg(F.max(column)).first()[0]
 
 
+FAN = 4
+
+
+def _last_active(end: str, horizon) -> Column:
+    limit = F.lit(horizon).cast("timestamp")
+    return F.least(F.coalesce(F.col(end) - F.expr("INTERVAL 1 MICROSECOND"), limit), limit)
+
+
+def interval_levels(intervals: DataFrame, *, start: str, end: str, horizon, bucket_days: int) -> int:
+    """How many cell sizes the intervals need: 1 while none is longer than a few buckets (one narrow scan)."""
+    length = time_bucket(_last_active(end, horizon), bucket_days) - time_bucket(F.col(start), bucket_days) + 1
+    longest, levels = intervals.agg(F.max(length)).first()[0] or 1, 1
+    while FAN**levels < longest:
+        levels += 1
+    return levels
+
+
+def _numbered(cells: Column, levels: int, level: int) -> Column:
+    return F.transform(cells, lambda c: c * levels + level)
+
+
+def interval_cells(first: Column, last: Column, levels: int) -> Column:
+    """The buckets `first` to `last` as few aligned cells of 1, 4, 16, .. buckets: at most 6 a level and 8 of the widest.
+    A cell is its number times `levels` plus its level."""
+    below = lambda x, y: F.when(y > x, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+    whole = lambda x: x.cast("long")
+    parts = []
+    for level in range(levels):
+        size, wide = FAN**level, FAN ** (level + 1)
+        low, high = whole(F.ceil(first / size)), whole(F.floor((last + 1) / size))
+        if level + 1 == levels:
+            cells = below(low, high)
+        else:  # what wider cells cover is left to them
+            up, down = whole(F.ceil(first / wide)) * FAN, whole(F.floor((last + 1) / wide)) * FAN
+            cells = F.when(up < down, F.concat(below(low, up), below(down, high))).otherwise(below(low, high))
+        parts.append(_numbered(cells, levels, level))
+    return F.concat(*parts)
+
+
 def interval_pairs(
     points: DataFrame,
     intervals: DataFrame,
@@ -50,25 +89,24 @@ def interval_pairs(
     horizon,
     bucket_days: int = 32,
     how: str = "inner",
+    levels: int | None = None,
 ) -> DataFrame:
     """Every point with each interval of its key that is active at the point.
 
-    Intervals are cut into time buckets, so the join key is (on, bucket): a hot key spreads over
-    the buckets and only near-matching intervals meet. Open intervals end at `horizon`, the
-    greatest instant anyone asks about.
+    Intervals are cut into aligned cells of time, so the join key is (on, cell): a hot key spreads over the cells and only
+    near-matching intervals meet. Cells grow by powers of four inside an interval, so one of years is a dozen rows; a
+    point probes the cell of each size in use. Open intervals end at `horizon`, the greatest instant anyone asks about.
+    With how="left" and several sizes a point comes once for each size in which it meets nothing.
     """
-    limit = F.lit(horizon).cast("timestamp")
-    last = F.least(
-        F.coalesce(F.col(end) - F.expr("INTERVAL 1 MICROSECOND"), limit), limit
-    )
-    cut = intervals.where(last >= F.col(start)).withColumn(
-        "_bucket",
-        F.explode(
-            F.sequence(time_bucket(F.col(start), bucket_days), time_bucket(last, bucket_days))
-        ),
-    )
+    if levels is None:
+        levels = interval_levels(intervals, start=start, end=end, horizon=horizon, bucket_days=bucket_days)
+    last = _last_active(end, horizon)
+    cells = interval_cells(time_bucket(F.col(start), bucket_days), time_bucket(last, bucket_days), levels)
+    cut = intervals.where(last >= F.col(start)).withColumn("_bucket", F.explode(cells))
     keys = [*on, "_bucket"]
-    probe = points.withColumn("_bucket", time_bucket(F.col(at), bucket_days))
+    bucket = time_bucket(F.col(at), bucket_days)
+    own = [F.floor(bucket / FAN**k).cast("long") * levels + k for k in range(levels)]
+    probe = points.withColumn("_bucket", F.explode(F.array(*own)) if levels > 1 else own[0])
     right = cut.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
                        *[c for c in cut.columns if c not in keys])
     meet = active_at(F.col(at), F.col(start), F.col(end))
@@ -102,13 +140,15 @@ def interval_latest(
     if horizon is None:
         horizon = last_instant(points, at)
     needed = dict.fromkeys([*on, start, end, *entity, row_id, *values])
+    levels = interval_levels(intervals, start=start, end=end, horizon=horizon, bucket_days=bucket_days)
     joined = interval_pairs(
         points.select(*on, at, *carry), intervals.select(*needed), on=on, at=at, start=start,
-        end=end, horizon=horizon, bucket_days=bucket_days, how=how,
+        end=end, horizon=horizon, bucket_days=bucket_days, how=how, levels=levels,
     )
     extras = [e for e in entity if e not in on]
     rank = F.xxhash64(row_id)
-    best = joined.groupBy(*on, "_bucket", at, *extras).agg(
+    # with one cell size the join's partitioning serves the aggregate too
+    best = joined.groupBy(*on, *(["_bucket"] if levels == 1 else []), at, *extras).agg(
         F.max(
             F.when(
                 F.col(start).isNotNull(),

@@ -103,6 +103,41 @@ def test_interval_join_matches_brute_force(spark):
         assert got == {k: v[1] for k, v in want.items()}
 
 
+@pytest.mark.parametrize("levels", [1, 2, 3, 5])
+def test_interval_cells_cover_each_bucket_once(spark, levels):
+    spans = [(a, a + n) for a in (-70, -5, -1, 0, 3, 16, 63) for n in (0, 1, 3, 4, 15, 64, 300)]
+    frame = spark.createDataFrame(spans, "a long, b long")
+    for r in frame.select("a", "b", temporal.interval_cells(F.col("a"), F.col("b"), levels).alias("cells")).collect():
+        buckets = []
+        for cell in r.cells:
+            number, size = cell // levels, 4 ** (cell % levels)
+            buckets += range(number * size, (number + 1) * size)
+        assert sorted(buckets) == list(range(r.a, r.b + 1))
+        assert len(r.cells) <= 6 * (levels - 1) + max(8, (r.b - r.a + 1) // 4 ** (levels - 1) + 1)
+
+
+def test_long_intervals_are_few_rows_and_meet_the_same_points(spark):
+    start = datetime(1990, 1, 1, tzinfo=timezone.utc)
+    rows = [("v1", "u1", "p", "K1", "townhouse", "available", start, None, "s"),
+            ("v2", "u2", "p", "K2", "townhouse", "available", start, day(3, 10), "s"),
+            ("v3", "u3", "p", "K3", "townhouse", "available", day(2), day(4), "s")]
+    u = spark.createDataFrame(rows, UNIT_SCHEMA)
+    points = asofs(spark, day(1), day(3), day(3, 10), day(20, 10))
+    kw = dict(on=["project_id"], at="as_of", start="effective_from", end="effective_to", horizon=day(20, 10), bucket_days=1)
+    levels = temporal.interval_levels(u, start="effective_from", end="effective_to", horizon=day(20, 10), bucket_days=1)
+    assert levels > 5
+    last = temporal.time_bucket(temporal._last_active("effective_to", day(20, 10)), 1)
+    cells = temporal.interval_cells(temporal.time_bucket(F.col("effective_from"), 1), last, levels)
+    assert max(r.n for r in u.select(F.size(cells).alias("n")).collect()) <= 6 * levels
+    met = sorted((r.as_of, r.version_id) for r in temporal.interval_pairs(points, u, **kw).collect())
+    plain = sorted((r.as_of, r.version_id) for r in temporal.interval_pairs(points, u, **kw, levels=1).collect())
+    assert met == plain and len(met) == 7
+    left = temporal.interval_latest(
+        points.unionAll(points.withColumn("project_id", F.lit("q"))), u, **kw, entity=["project_id"], row_id="version_id", values=("version_id",), how="left"
+    )
+    assert left.count() == 8 and left.where("version_id IS NULL").count() == 4
+
+
 def outcome_events(spark, *rows):
     return spark.createDataFrame(
         [("decision_outcome_observed", h, at, f"k{i}", p)
