@@ -92,6 +92,10 @@ class Words:
                 run ^= run >> np.uint64(29)
             yield (run * _MIX[0]) >> shift
 
+    def marks(self, bits: int) -> np.ndarray:
+        """Another cell of every word, for words that stand in a pair that passed."""
+        return ((self.hash ^ (self.hash >> np.uint64(31))) * _MIX[2]) >> np.uint64(64 - bits)
+
 
 def _read(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Words]:
     def texts():
@@ -124,14 +128,14 @@ def _follow(words: Words, k: int) -> np.ndarray:
 def frequent_cells(docs: DataFrame, least: int, bits: int, portion: int, order: int, known=None) -> bytes:
     """A bit a cell: whether runs of words that hash there may stand `least` times. (lang, text) rows. Without `known`
     (a broadcast of the first bitmap) words and pairs are counted, with it runs of three to `order` words whose pairs are
-    all known.
+    all known, and the words of known pairs are marked.
 
     A task counts in one array, up to `least` a cell; the arrays go out in blocks, and whoever gets a block adds its rows
     up as they stream by. What comes back has 2^bits / 8 bytes, whatever the corpus.
     """
     top = min(least, 255)
 
-    def found(words: Words) -> Iterator[np.ndarray]:
+    def found(words: Words) -> Iterator[tuple[np.ndarray, int]]:
         sketch = Sketches(bits, known.value) if known else None
         alive = np.ones(words.n, bool)
         for k, cells in enumerate(words.cells(bits, order if known else 2), 1):
@@ -140,24 +144,32 @@ def frequent_cells(docs: DataFrame, least: int, bits: int, portion: int, order:
             if sketch and k == 2:
                 pair = np.append(sketch.hit(2, cells), np.zeros(order, bool))
                 alive = alive & pair[: words.n]
+                at = np.flatnonzero(alive)
+                yield words.marks(bits)[np.concatenate([at, at + 1])], top
             elif sketch and k > 2:
                 alive = alive & pair[k - 2 : k - 2 + words.n]
             if not sketch or k > 2:
-                yield cells[alive]
+                yield cells[alive], 1
 
     def count(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
         counts = np.zeros(1 << bits, np.uint8)
         for words in _read(batches, portion):
-            for cells in found(words):
+            for cells, each in found(words):
                 cells, n = np.unique(cells, return_counts=True)
-                counts[cells] = np.minimum(counts[cells] + n, top)
+                counts[cells] = np.minimum(counts[cells] + n * each, top)
         used = np.flatnonzero(counts.reshape(-1, BLOCK).any(1))
         for i in range(0, len(used), 1000):
             some = used[i : i + 1000]
-            rows = [counts[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in some.tolist()]
+            rows = [pack(counts[b * BLOCK : (b + 1) * BLOCK].tobytes()) for b in some.tolist()]
             yield pa.RecordBatch.from_pydict({"block": some.astype(np.int64), "counts": pa.array(rows, pa.binary())})
 
     def add(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         block, total = -1, None
         done = lambda: pa.RecordBatch.from_pydict(
             {"block": [block], "bits": [np.packbits(total >= top, bitorder="little").tobytes()]}
@@ -168,7 +180,7 @@ def frequent_cells(docs: DataFrame, least: int, bits: int, portion: int, order:
                     if total is not None:
                         yield done()
                     block, total = b, np.zeros(BLOCK, np.int64)
-                total += np.frombuffer(counts.as_buffer(), np.uint8)
+                total += np.frombuffer(unpack(counts.as_buffer()), np.uint8)
         if total is not None:
             yield done()
 
@@ -189,6 +201,8 @@ def _window_rows(words: Words, sketch: Sketches, order: int) -> pa.Table:
         if k > 1:
             alive = alive & _follow(words, k)
         alive = alive & sketch.hit(k, cells)
+        if k == 1:
+            alive = alive & sketch.hit(3, words.marks(sketch.bits))
         at = np.flatnonzero(alive)
         codes[k - 1, at] = words.code[at + k - 1]
         if k == 1:
@@ -241,8 +255,8 @@ def windows(docs: DataFrame, order: int, short, long, bits: int, portion: int, r
 
 
 def phrase_counts(docs: DataFrame, order: int = 5, least: int = 100, lang: str = "lang", text: str = "text", portion: int = 8 << 20) -> DataFrame:
-    """(lang, words, f): every phrase of 1 to `order` words met `least` times or more, and per language one row without
-    words whose f counts all words."""
+    """(lang, words, f): every phrase of 2 to `order` words met `least` times or more, every word of one, and per language
+    one row without words whose f counts all words."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -106,7 +106,10 @@ def test_a_full_sketch_only_prunes_less(spark, made):
     total = lambda df: sorted(df.groupBy("lang").sum("n").collect())
     assert total(every) == total(kept)
     often = lambda df, k: sorted(map(str, df.where(f"w{k} IS NOT NULL").groupBy("lang", *[f"w{i + 1}" for i in range(k)]).sum("n").where("`sum(n)` >= 50").collect()))
-    assert all(often(every, k) == often(kept, k) for k in range(1, 6)) and often(kept, 3)
+    assert all(often(every, k) == often(kept, k) for k in range(2, 6)) and often(kept, 3)
+    words = {w for r in kept.where("w2 IS NOT NULL").select("w1", "w2").collect() for w in r}
+    single = lambda df: {(r.lang, r.w1): r["sum(n)"] for r in df.where("w1 IS NOT NULL").groupBy("lang", "w1").sum("n").collect() if r["sum(n)"] >= 50}
+    assert set(single(kept).items()) <= set(single(every).items()) and {w for _, w in single(kept)} <= words
 
 
 def test_empty_table(spark):
