@@ -49,7 +49,7 @@ def searcher(n_words: int, patterns: dict[bytes, set[int]]) -> Searcher:
         np.minimum.at(shift, code, least - end)
     for k, x in enumerate(code.tolist()):
         buckets[x].append(k)
-    return Searcher(n_words, texts, [sorted(patterns[t]) for t in texts], least, block, shift, dict(buckets))
+    return Searcher(n_words, texts, [sorted(patterns[t] - {None}) for t in texts], least, block, shift, dict(buckets))
 
 
 def item_windows(item_id: int, text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
@@ -141,7 +141,8 @@ def find_benchmark(
     """Add the struct `out`: n_words, spans (intervals of words inside any occurring window), items (whose windows occur).
 
     The benchmark is read in blocks of at most `bytes_at_once` of text; each block's tables are sent to the tasks and
-    all documents pass through all blocks, so a benchmark of any size is searched in bounded memory. Null and empty texts
+    all documents pass through all blocks; driver and tasks hold the tables of all of them, some ten bytes a benchmark byte,
+    so the benchmark has to fit in memory and the documents need not. Null and empty texts
     and items have no words; items shorter than a window are one window; repeated items count once per id; items
     without an id are searched but never named; texts are searched whole; empty tables give no hits; other columns pass
     through, one named like `out` is replaced.

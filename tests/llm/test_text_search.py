@@ -172,3 +172,12 @@ def test_term_frequencies_match_loops(docs, rows, spark):
     got = {r.term: r.n_docs for r in pii.term_frequencies(docs, "text", terms).collect()}
     want = {pii.key_of(w): sum(w in set(pii.TERM.findall((r[1] or "").lower())) for r in rows) for w in vocabulary}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_items_without_an_id_are_searched_and_not_named(spark):
+    docs = spark.createDataFrame([(1, "say one two three now"), (2, "four five six"), (3, "seven")], "doc_id long, text string")
+    items = [(None, "one two three"), (7, "one two three"), (None, "four five six"), (8, None), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.x for r in decontam.find_benchmark(docs, bench, out="x").collect()}
+    assert {k: list(x["items"]) for k, x in got.items()} == {1: [7], 2: [], 3: []}
+    assert [len(got[k].spans) for k in (1, 2, 3)] == [1, 1, 0]
