@@ -135,12 +135,14 @@ def _url_sql(depth: int = 4) -> str:
                    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
       ruled AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS base,
                   regexp_replace(path, '[0-9]+', '*', 'g') AS shape FROM parsed),
-      shapes AS (SELECT host, shape, count(*) AS n, count_if(base = 'block')::BIGINT AS bad,
-                   count_if(base = 'allow')::BIGINT AS good FROM ruled GROUP BY 1, 2),
+      shapes AS (SELECT host, shape, count(*) AS n, count(*) FILTER (WHERE base = 'block') AS bad,
+                   count(*) FILTER (WHERE base = 'allow') AS good FROM ruled GROUP BY 1, 2),
       prior AS (SELECT (coalesce(sum(bad), 0) + 1)::DOUBLE / (coalesce(sum(bad), 0) + coalesce(sum(good), 0) + 2) AS p FROM shapes),
+      hosts AS (SELECT host, (sum(bad) + 4::DOUBLE * p) / (sum(bad) + sum(good) + 4::DOUBLE) AS bad_share
+                FROM shapes, prior GROUP BY host, p),
       tree0 AS (SELECT *, string_split(regexp_replace(shape, '^/', ''), '/') AS whole,
                   CASE WHEN len(whole) <= {depth} THEN whole ELSE
-                    list_append(whole[1:{depth - 1}], array_to_string(whole[{depth}:], '/')) END AS parts, '' AS node FROM shapes)"""]
+                    list_append(whole[1:{depth - 1}], array_to_string(whole[{depth}:], '/')) END AS parts, '' AS node FROM shapes JOIN hosts USING (host))"""]
     for k in range(depth):
         similar = """CASE WHEN bad + good = 0 AND bad0 + good0 = 0 THEN true WHEN bad + good = 0 OR bad0 + good0 = 0 THEN false
           ELSE (bad::DOUBLE / (bad + good) - bad0::DOUBLE / (bad0 + good0)) * (bad::DOUBLE / (bad + good) - bad0::DOUBLE / (bad0 + good0))
@@ -159,16 +161,17 @@ def _url_sql(depth: int = 4) -> str:
                     WINDOW w AS (PARTITION BY host, node ORDER BY share, name)),
       branch{k} AS (SELECT *, sum(CASE WHEN bad0 IS NOT NULL AND {similar} THEN 0 ELSE 1 END)
                       OVER (PARTITION BY host, node ORDER BY share, name ROWS UNBOUNDED PRECEDING) AS branch FROM lagged{k}),
-      label{k} AS (SELECT host, node, branch, min(name) || CASE WHEN count(*) > 1 THEN '+' || (count(*) - 1) ELSE '' END AS label
+      label{k} AS (SELECT host, node, branch, min(name) || CASE WHEN count(*) > 1 THEN '+' || (count(*) - 1) ELSE '' END AS label,
+                     sum(bad) AS b_bad, sum(good) AS b_good
                    FROM branch{k} GROUP BY 1, 2, 3),
-      tree{k + 1} AS (SELECT t.* EXCLUDE (node), CASE WHEN len(parts) > {k} THEN t.node || '/' || l.label ELSE t.node END AS node
+      tree{k + 1} AS (SELECT t.* EXCLUDE (node, bad_share), CASE WHEN len(parts) > {k} THEN t.node || '/' || l.label ELSE t.node END AS node,
+                        CASE WHEN len(parts) > {k} THEN (b_bad + 4::DOUBLE * bad_share) / (b_bad + b_good + 4::DOUBLE)
+                          ELSE bad_share END AS bad_share
                       FROM tree{k} t LEFT JOIN given{k} g ON g.host = t.host AND g.node = t.node AND g.part = t.parts[{k + 1}]
                       LEFT JOIN branch{k} b ON b.host = g.host AND b.node = g.node AND b.name = g.name
                       LEFT JOIN label{k} l ON l.host = b.host AND l.node = b.node AND l.branch = b.branch)""")
     return "WITH " + ",".join(steps) + f""",
-      leaf AS (SELECT host, node, sum(bad) AS bad, sum(good) AS good FROM tree{depth} GROUP BY 1, 2),
-      judged AS (SELECT t.host, t.shape, CASE WHEN (l.bad + 4::DOUBLE * p) / (l.bad + l.good + 4::DOUBLE) >= 0.8::DOUBLE
-                   THEN 'block' ELSE 'allow' END AS verdict FROM tree{depth} t JOIN leaf l USING (host, node), prior)
+      judged AS (SELECT host, shape, CASE WHEN bad_share >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END AS verdict FROM tree{depth})
     SELECT page_id, host, path, rule, coalesce(base, j.verdict) AS verdict FROM ruled JOIN judged j USING (host, shape)"""
 
 

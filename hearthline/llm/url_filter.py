@@ -60,17 +60,22 @@ def template_verdicts(
     shapes: DataFrame, depth: int = 4, fan_out: int = 20, per_child: int = 3, z2: float = 3.84, weight: float = 4.0,
     reject: float = 0.8,
 ) -> DataFrame:
-    """Per (host, shape) the template, its label counts, smoothed bad share and verdict.
+    """Per (host, shape) the template, its smoothed bad share and verdict.
 
     Level by level from the host down: a node with at least `fan_out` different children of fewer than `per_child` pages
     each on average has one wildcard child instead; then children whose bad shares are alike are merged, in order of
-    the share, each with its neighbour. Nodes and branches are aggregates over shapes, which are far fewer than pages;
-    a window sees the children of one node only, fewer than `fan_out` or well filled.
+    the share, each with its neighbour. A branch's bad share is smoothed towards that of the node above with `weight`
+    pseudo-pages, the host's towards the corpus share; so a template without labels goes by the nearest node that has
+    some. Nodes and branches are aggregates over shapes, which are far fewer than pages; a window sees the children of
+    one node only, fewer than `fan_out` or well filled.
     """
     rates = shapes.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     bad, good = rates.bad or 0, rates.good or 0
     prior = (bad + 1) / (bad + good + 2)
+    hosts = shapes.groupBy("host").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    of_host = (F.col("bad") + weight * prior) / (F.col("bad") + F.col("good") + weight)
     tree = shapes.withColumn("parts", segments(F.col("shape"), depth)).withColumn("node", F.lit(""))
+    tree = tree.join(hosts.select("host", of_host.alias("bad_share")), "host")
     for level in range(depth):
         part = F.coalesce(F.get("parts", F.lit(level)), F.lit(""))
         deep = F.size("parts") > level
@@ -94,21 +99,22 @@ def template_verdicts(
         named = named.withColumn("branch", F.expr(f"sum(start) OVER ({order} ROWS UNBOUNDED PRECEDING)"))
         branch = child.select("host", "node", "part", "name").join(named.select("host", "node", "name", "branch"), ["host", "node", "name"])
         # the branch's name: its first member by name stands for all
-        label = named.groupBy("host", "node", "branch").agg(F.min("name").alias("label"), F.count("*").alias("members"))
+        label = named.groupBy("host", "node", "branch").agg(
+            F.min("name").alias("label"), F.count("*").alias("members"), F.sum("bad").alias("b_bad"), F.sum("good").alias("b_good")
+        )
         branch = branch.join(label, ["host", "node", "branch"]).select(
             "host", "node", "part",
-            F.when(F.col("members") > 1, F.concat("label", F.lit("+"), F.col("members") - 1)).otherwise(F.col("label")).alias("label"),
+            F.when(F.col("members") > 1, F.concat("label", F.lit("+"), F.col("members") - 1)).otherwise(F.col("label")).alias("label"), "b_bad", "b_good",
         )
-        tree = rows.join(branch, ["host", "node", "part"], "left").withColumn(
-            "node", F.when(F.col("deep"), F.concat("node", F.lit("/"), "label")).otherwise(F.col("node"))
-        ).drop("part", "label", "deep")
+        own = (F.col("b_bad") + weight * F.col("bad_share")) / (F.col("b_bad") + F.col("b_good") + weight)
+        tree = rows.join(branch, ["host", "node", "part"], "left").withColumns({
+            "node": F.when(F.col("deep"), F.concat("node", F.lit("/"), "label")).otherwise(F.col("node")),
+            "bad_share": F.when(F.col("deep"), own).otherwise(F.col("bad_share")),
+        }).drop("part", "label", "deep", "b_bad", "b_good")
         tree = cut_lineage(tree)
-    # a template's own counts are those of its leaf
-    leaf = tree.groupBy("host", "node").agg(F.sum("bad").alias("t_bad"), F.sum("good").alias("t_good"))
-    purity = (F.col("t_bad") + weight * prior) / (F.col("t_bad") + F.col("t_good") + weight)
-    return tree.join(leaf, ["host", "node"]).select(
-        "host", "shape", F.col("node").alias("template"), "t_bad", "t_good", purity.alias("bad_share"),
-        F.when(purity >= reject, "block").otherwise("allow").alias("template_verdict"),
+    return tree.select(
+        "host", "shape", F.col("node").alias("template"), "bad_share",
+        F.when(F.col("bad_share") >= reject, "block").otherwise("allow").alias("template_verdict"),
     )
 
 

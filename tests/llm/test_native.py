@@ -82,3 +82,23 @@ def test_templates_generalise_and_reject(spark):
     other = pages.unionAll(spark.createDataFrame([(1000 + i, f"http://b.net/x/{i}") for i in range(50)], "page_id long, url string"))
     assert {r.verdict for r in url_filter.judge_urls(other, rules=rules).collect() if r.host == "b.net"} == {"allow"}
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_unlabelled_templates_go_by_the_nearest_labels(spark):
+    """A planted template without a rule is rejected where its branch or host is bad and kept where it is good."""
+    rules = (("block", "bad.net", "/x/spam"), ("allow", "good.net", "/x/fine"), ("block", "mix.net", "/a/spam"), ("allow", "mix.net", "/b/fine"))
+    urls = [f"http://{h}/{d}/{w}{'abcdefghij'[i % 10]}" for h, d, w in (
+        ("bad.net", "x", "spam"), ("bad.net", "x", "new"), ("good.net", "x", "fine"), ("good.net", "x", "new"),
+        ("mix.net", "a", "spam"), ("mix.net", "a", "new"), ("mix.net", "b", "fine"), ("mix.net", "b", "new"),
+    ) for i in range(60)] + ["http://none.net/x/y"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {(r.host, r.path): r for r in url_filter.judge_urls(pages, rules=rules).collect()}
+    verdict = lambda host, path: got[host, path].verdict
+    assert verdict("bad.net", "/x/newa") == verdict("mix.net", "/a/newa") == "block"
+    assert verdict("good.net", "/x/newa") == verdict("mix.net", "/b/newa") == "allow"
+    # by hand: corpus (120 + 1) / (240 + 2); host towards the corpus, first branch towards the host, the leaf has none
+    corpus = 121 / 242
+    host = (60 + 4 * corpus) / 64
+    first = (60 + 4 * host) / 64
+    assert abs(got["bad.net", "/x/newa"].bad_share - first) < 1e-12
+    assert abs(got["none.net", "/x/y"].bad_share - corpus) < 1e-12
