@@ -20,11 +20,11 @@ from hearthline.operators import audit, choices, experiments, features, governan
 from hearthline.operators import population as pop
 from hearthline.operators import quality, scenarios, temporal, utility
 from hearthline.operators.scenarios import Scenario
-from hearthline.plans import calibration, forecast, snapshot
+from hearthline.plans import calibration, forecast, hash_tree, snapshot
 from hearthline.schemas import DEFAULT_WEIGHTS, HOUSEHOLD_FIELDS
 from hearthline.session import cut_lineage, shared_dir
-from hearthline.sources import adapters, connectors, events, ingest, tables
-from hearthline.streaming.ingest import stream_ingest
+from hearthline.sources import adapters, connectors, events, ingest, keyed, tables
+from hearthline.streaming.ingest import stream_dedupe, stream_ingest, stream_keyed
 
 QUERIES: dict[str, Callable[[Market], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -506,6 +506,16 @@ def _(m):
     return ingest.ingest_events(batch, store, source_id="web")[1]
 
 
+@query("ingest_indexed", f"{CANON_VIEW_SQL} web")
+def _(m):
+    """The log in two batches, the second with all of the first again, through the key index."""
+    path = f"{shared_dir(m.spark)}/table-{uuid4().hex}"
+    store, batch = _store_and_batch(m)
+    for part in (store, batch):
+        keyed.ingest_batch(m.spark, path, part, source_id="web")
+    return _event_view(keyed.stored_events(m.spark, path))
+
+
 def _snapshots(m: Market) -> DataFrame:
     """One source snapshot per ship day and status, content named by its totals."""
     days = m.table("lineitem").groupBy("l_shipdate", "l_linestatus").agg(
@@ -568,6 +578,30 @@ def _(m):
     )
 
 
+@query(
+    "partition_digests",
+    f"""WITH l AS (SELECT event_type, occurred_at::DATE AS event_date, sha256({EVENT_LINE_SQL}) AS h FROM canonical),
+          s AS (SELECT event_type, event_date, count(*) AS n, {' + '.join(
+              f'(count(*) > {hash_tree.LEAF * 16**k})::INTEGER' for k in range(hash_tree.DEEPEST))} AS digits FROM l GROUP BY 1, 2),
+          c AS (SELECT event_type, event_date, h, count(*) AS copies FROM l GROUP BY 1, 2, 3),
+          n0 AS (SELECT event_type, event_date, n, digits, left(h, digits) AS pre,
+                   sha256(string_agg(h || ':' || copies, '|' ORDER BY h || ':' || copies)) AS digest
+                 FROM c JOIN s USING (event_type, event_date) GROUP BY 1, 2, 3, 4, 5),
+          n1 AS (SELECT event_type, event_date, n, greatest(digits - 3, 0) AS up, left(pre, greatest(digits - 3, 0)) AS above,
+                   CASE WHEN digits = 0 THEN min(digest) ELSE
+                     sha256(string_agg(pre || ':' || digest, '|' ORDER BY pre || ':' || digest)) END AS digest
+                 FROM n0 GROUP BY 1, 2, 3, digits, 4, 5),
+          n2 AS (SELECT event_type, event_date, n, up AS digits, left(above, greatest(up - 3, 0)) AS pre,
+                   CASE WHEN up = 0 THEN min(digest) ELSE
+                     sha256(string_agg(above || ':' || digest, '|' ORDER BY above || ':' || digest)) END AS digest
+                 FROM n1 GROUP BY 1, 2, 3, 4, 5)
+        SELECT event_type, event_date::VARCHAR AS event_date, n AS records, digest FROM n2""",
+)
+def _(m):
+    found = hash_tree.partition_digests(m.canonical, snapshot.event_line(), snapshot.event_partition())
+    return found.select("event_type", F.col("event_date").cast("string").alias("event_date"), F.col("rows").alias("records"), "digest")
+
+
 @query(
     "window_filter",
     """SELECT count(*) AS events FROM canonical WHERE occurred_at >= TIMESTAMP '2024-01-10'
@@ -2234,6 +2268,34 @@ def _(m):
     )
 
 
+@query("stream_ingest_keyed", f"{CANON_VIEW_SQL} web")
+def _(m):
+    """Four micro-batches and a late repeat of a quarter of the log, each found again by the key index."""
+    base = f"{shared_dir(m.spark)}/stream-{uuid4().hex}"
+    late = m.web_events.where(F.col("source_event_key").cast("long") % 4 == 0)
+    m.web_events.repartition(3).write.parquet(f"{base}/in")
+    late.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    schema = m.spark.read.parquet(f"{base}/in").schema
+    stream_keyed(
+        m.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), f"{base}/table",
+        source_id="web", checkpoint=f"{base}/checkpoint", name="web",
+    ).awaitTermination()
+    return _event_view(keyed.stored_events(m.spark, f"{base}/table"))
+
+
+@query("stream_dedupe", f"{CANON_VIEW_SQL} web")
+def _(m):
+    """The same log sent twice, with keys kept as streaming state."""
+    base = f"{shared_dir(m.spark)}/stream-{uuid4().hex}"
+    m.web_events.unionByName(m.web_events).write.parquet(f"{base}/in")
+    schema = m.spark.read.parquet(f"{base}/in").schema
+    stream_dedupe(
+        m.spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/events", checkpoint=f"{base}/checkpoint",
+        delay="365 days",
+    ).awaitTermination()
+    return _event_view(m.spark.read.parquet(f"{base}/events"))
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES[name](Market(spark, sf_dir))
 

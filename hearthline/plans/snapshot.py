@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthline.functions.hashing import canonical_json, digest_root, multiset_digest
 from hearthline.operators.audit import readiness_audit
+from hearthline.plans import hash_tree
 from hearthline.schemas import EVENT_COLUMNS
 
 TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -27,6 +28,11 @@ def window(events: DataFrame, start: datetime | None, end: datetime | None) -> D
     return events
 
 
+def event_partition() -> dict[str, Column]:
+    """What a seal names: the event type and the day."""
+    return {"event_type": F.col("event_type"), "event_date": F.to_date("occurred_at")}
+
+
 def event_line() -> Column:
     """Meaning of an event as text: no event id, no ingest time, instants in UTC."""
     return F.to_json(
@@ -121,7 +127,8 @@ def freeze_dataset(
 ) -> DataFrame:
     """Write events of the window, snapshots and input tables, and their manifest (one row).
 
-    Existing content is never overwritten. Digests are taken from the written files.
+    Existing content is never overwritten. Digests are taken from the written files; events are also sealed by
+    type and day (`hash_tree`), so that damage can be named.
     """
     if window_from and window_to and window_from >= window_to:
         raise ValueError("window_from must be before window_to")
@@ -142,6 +149,9 @@ def freeze_dataset(
     manifest = identity.withColumns(
         {
             "created_at": F.lit(datetime.now(timezone.utc)),
+            "event_root": F.lit(
+                hash_tree.seal(spark, f"{path}/events", f"{path}/seal", event_line(), event_partition())
+            ),
             "training_ready": F.lit(audit["training_ready"]),
             "blockers": F.array(*[F.lit(b) for b in audit["blockers"]]).cast("array<string>"),
             "warnings": F.array(*[F.lit(w) for w in audit["warnings"]]).cast("array<string>"),
@@ -155,9 +165,16 @@ def freeze_dataset(
 
 
 def verify_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Recompute every digest and the identity; raise on any difference."""
+    """Recompute every digest and the identity; raise on any difference, naming the days of damaged events."""
     stored = spark.read.parquet(f"{path}/manifest")
     m = stored.first()
+    sealed = spark.read.parquet(f"{path}/seal/digests")
+    if sealed.agg(hash_tree.root(sealed, list(event_partition())).alias("r")).first()["r"] != m["event_root"]:
+        raise DatasetMismatch("the seal does not match the manifest")
+    differing = damaged_events(spark, path).orderBy("event_type", "event_date").limit(20).collect()
+    if differing:
+        named = ", ".join(f"{r.event_type} {r.event_date} {r.state}" for r in differing)
+        raise DatasetMismatch(f"event_digest does not match the manifest: {named}")
     now = _manifest(
         spark, path, list(m["input_digests"]), project_code=m["project_code"],
         version=m["snapshot_version"], start=m["window_from"], end=m["window_to"],
@@ -169,6 +186,13 @@ def verify_dataset(spark: SparkSession, path: str) -> DataFrame:
     return stored
 
 
+def damaged_events(spark: SparkSession, path: str, changed_only: bool = False) -> DataFrame:
+    """(event_type, event_date, state) of frozen events that differ from their seal."""
+    return hash_tree.damage(
+        spark, f"{path}/events", f"{path}/seal", event_line(), event_partition(), changed_only=changed_only
+    )
+
+
 def read_frozen(spark: SparkSession, path: str, name: str) -> DataFrame:
     sub = name if name in ("events", "source_snapshots") else f"inputs/{name}"
     return spark.read.parquet(f"{path}/{sub}")

@@ -92,6 +92,16 @@ def event_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def day_files(dated: DataFrame, rows_per_file: int) -> DataFrame:
+    """Dealt into one file per `rows_per_file` rows of a (type, day): a busy day is many tasks, a small batch one file."""
+    files = dated.groupBy("event_type", "event_date").agg(
+        F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files")
+    )
+    return dated.join(files, ["event_type", "event_date"]).repartition(
+        "event_type", "event_date", F.pmod(F.xxhash64("dedupe_key"), F.col("_files"))
+    ).drop("_files")
+
+
 def append_events(
     spark: SparkSession, path: str, new: DataFrame, *, source_id: str, rows_per_file: int = 500_000
 ) -> dict:
@@ -107,14 +117,8 @@ def append_events(
     fixed = cut_lineage(fresh)
     counts = result.first().asDict()
     dated = fixed.withColumn("event_date", F.to_date("occurred_at"))
-    # one file per `rows_per_file` rows of a (type, day): a busy day is many tasks, a small batch one file
-    files = dated.groupBy("event_type", "event_date").agg(
-        F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files")
-    )
     (
-        dated.join(files, ["event_type", "event_date"])
-        .repartition("event_type", "event_date", F.pmod(F.xxhash64("dedupe_key"), F.col("_files")))
-        .drop("_files")
+        day_files(dated, rows_per_file)
         .sortWithinPartitions("entity_id", "occurred_at")
         .write.mode("append").partitionBy("event_type", "event_date").parquet(path)
     )
