@@ -1,10 +1,13 @@
 """Personal data: fixed patterns for direct identifiers, and information-theoretic sanitisation of revealing terms.
 
 The patterns find protected entities (e-mail and IP addresses, card and phone numbers). A term t of a text with an
-entity e gives away its information when p(e|t) is high: PMI(t;e) = log2(p(t,e) / (p(t) p(e))), compared with the entity's own
-information IC(e) = -log2 p(e). Probabilities are shares of documents, counted over the whole corpus. A term with
-PMI >= IC / alpha is replaced by a more general form (its first letters) if that form stays below the threshold, and
-removed otherwise.
+entity e gives away its information when p(e|t) is high: PMI(t;e) = log2(p(e|t) / p(e)), compared with the entity's own
+information IC(e) = -log2 p(e). Probabilities are shares of documents, counted over the whole corpus; p(e|t) is the lower
+end of its Wilson interval, so few documents tell little. A rare entity is judged through its group (the domain of an
+address, the network of an IP address, the first digits of a number), a rare group through its kind.
+
+A term with PMI >= IC / alpha is replaced by its longest general form (the words of the corpus that share its first
+letters) that stays below the threshold for all that the document holds, and removed if there is none.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-PREFIX = 3
+DEPTHS = (5, 3, 2)  # letters that general forms keep, longest first
 
 
 def luhn(digits: str) -> bool:
@@ -82,6 +85,21 @@ def key_of(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode("utf-8", "replace")) - (1 << 63)
 
 
+def group_of(kind: str, value: str) -> str:
+    """The class between an entity and its kind."""
+    if kind == "email":
+        return value[value.rindex("@") :].lower()
+    if kind == "ip":
+        return value[: value.rindex(".")]
+    digits = "".join(DIGIT.findall(value))
+    return digits[: 6 if kind == "card" else 4]
+
+
+def forms_of(word: str) -> list[str]:
+    """The word and its general forms, longest first."""
+    return [word] + [word[:d] + "*" for d in DEPTHS if d < len(word)]
+
+
 def outside(text: str, found: list[tuple[str, int, int]]) -> Iterator[re.Match]:
     """All terms of the text that do not touch an entity."""
     taken: list[tuple[int, int]] = []  # entities, merged
@@ -98,14 +116,17 @@ def outside(text: str, found: list[tuple[str, int, int]]) -> Iterator[re.Match]:
 
 
 def find_entities(text):
-    """Struct column: the entities of a text and their distinct keys."""
+    """Struct column: the entities of a text and the distinct keys of each, of its group and of its kind."""
 
     def one(value: bytes) -> tuple:
         known = value.decode("utf-8", "replace")
         found = entities(known)
-        return [{"kind": k, "start": a, "end": b} for k, a, b in found], sorted({key_of(f"{k}:{known[a:b]}") for k, a, b in found})
+        values = sorted({(k, known[a:b]) for k, a, b in found})
+        keys = [{"entity": key_of(f"{k}:{v}"), "family": key_of(f"{k}/{group_of(k, v)}"), "kind": key_of(k)} for k, v in values]
+        return [{"kind": k, "start": a, "end": b} for k, a, b in found], keys
 
-    return text_udf(each(lambda: one), "entities array<struct<kind:string,start:long,end:long>>, keys array<long>")(text)
+    ddl = "entities array<struct<kind:string,start:long,end:long>>, keys array<struct<entity:long,family:long,kind:long>>"
+    return text_udf(each(lambda: one), ddl)(text)
 
 
 def find_terms(text):
@@ -114,38 +135,38 @@ def find_terms(text):
     def one(value: bytes) -> tuple:
         known = value.decode("utf-8", "replace")
         words = {m[0].lower() for m in outside(known, entities(known))}
-        return (sorted({key_of(w) for w in words} | {key_of(w[:PREFIX] + "*") for w in words}),)
+        return (sorted({key_of(f) for w in words for f in forms_of(w)}),)
 
     return text_udf(each(lambda: one), "terms array<long>")(text)
 
 
 def find_places(text, told):
-    """Column: (start, end, action) of every occurrence of the told (entity, term) keys in the whole text. A word goes if
-    its general form gives away the same entity too."""
-
-    def one(value: str, pairs: list) -> list:
-        by: dict[int, set[int]] = {}
-        for x in pairs:
-            by.setdefault(x["term"], set()).add(x["entity"])
-        out, acts = [], {}
+    """Column: (start, end, action, letters) of every occurrence of a told term in the whole text, with the number of
+    letters that its longest general form keeps which is not told itself (0: removed)."""
+
+    def one(value: str, keys: list) -> list:
+        bad, out, acts = set(keys), [], {}
         for m in outside(value, entities(value)):
             word = m[0].lower()
             if word not in acts:
-                who = by.get(key_of(word))
-                acts[word] = who and ("remove" if who & by.get(key_of(word[:PREFIX] + "*"), set()) else "generalise")
-            if acts[word]:
-                out.append({"start": m.start(), "end": m.end(), "action": acts[word]})
+                first, *more = forms_of(word)
+                free = [len(f) - 1 for f in more if key_of(f) not in bad] if key_of(first) in bad else None
+                acts[word] = None if free is None else max(free, default=0)
+            if acts[word] is not None:
+                action = "generalise" if acts[word] else "remove"
+                out.append({"start": m.start(), "end": m.end(), "action": action, "letters": acts[word]})
         return out
 
-    def run(texts: pa.Array, pairs: pa.Array) -> pa.Array:
-        rows = zip(texts.to_pylist(), pairs.to_pylist())
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("action", pa.string())]))
+    def run(texts: pa.Array, told: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), told.to_pylist())
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("action", pa.string()), ("letters", pa.int64())]))
         return pa.array([one((t or b"").decode("utf-8", "replace"), p) if p else [] for t, p in rows], kind)
 
-    run.__annotations__ = {"texts": pa.Array, "pairs": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<struct<start:long,end:long,action:string>>").asNondeterministic()(text.cast("binary"), told)
+    run.__annotations__ = {"texts": pa.Array, "told": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, PLACES).asNondeterministic()(text.cast("binary"), told)
 
 
+PLACES = "array<struct<start:long,end:long,action:string,letters:long>>"
 FILTER_BITS = 1 << 23  # one megabyte, whatever the corpus
 
 
@@ -163,7 +184,7 @@ def _filter(terms: DataFrame) -> np.ndarray:
 
 
 def term_frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """(term, n_docs): in how many of all documents each of the given term keys occurs, as a word or a general form.
+    """(term, n_docs): in how many of all documents each of the given term keys occurs, as a word or as a general form of one.
 
     One pass over the texts; a task counts what passes the filter and sends one row per term it met, in bounded runs.
     """
@@ -189,7 +210,7 @@ def term_frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
                     if got is None:
                         if len(keys) >= 200_000:
                             keys.clear()
-                        got = keys[word] = tuple(k for k in (key_of(word), key_of(word[:PREFIX] + "*")) if passes(k))
+                        got = keys[word] = tuple(k for k in map(key_of, forms_of(word)) if passes(k))
                     met.update(got)
                 for k in met:
                     counts[k] = counts.get(k, 0) + 1
@@ -203,49 +224,63 @@ def term_frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.sum("n").alias("n_docs")).join(terms, "term", "left_semi")
 
 
-def disclosing(
-    seen: DataFrame, n_entity: DataFrame, docs: DataFrame, text: str, total: int, alpha: float, support: int
-) -> DataFrame:
-    """(entity, term): terms that give away at least 1/alpha of the information of an entity that they share at
-    least `support` documents with. `seen` has a row per document, entity and term of it."""
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= support)
-    pairs = cut_lineage(pairs)
+def lower_share(hits, of, z: float):
+    """Column: lower end of the Wilson interval of a share of `hits` in `of` trials."""
+    hits, of = hits.cast("double"), of.cast("double")
+    spread = F.sqrt(hits * (of - hits) / of + z * z / 4)
+    return (hits + z * z / 2 - z * spread) / (of + z * z)
+
+
+def disclosing(seen: DataFrame, docs: DataFrame, text: str, total: int, alpha: float, z: float) -> DataFrame:
+    """(class, term): terms that give away at least 1/alpha of the information of a class of entities. `seen` has a row
+    per document, class (with `n_class`, its documents) and term of it."""
+    pairs = seen.groupBy("class", "n_class", "term").agg(F.count("*").alias("n_pair"))
+    # log2(share / p) >= -log2(p) / alpha, with the logarithms gone
+    bar = F.pow(F.col("n_class") / F.lit(float(max(total, 1))), F.lit(1 - 1 / alpha))
+    # a term stands in n_pair documents at least, so what fails even then need not be looked up
+    pairs = cut_lineage(pairs.where(lower_share(F.col("n_pair"), F.col("n_pair"), z) >= bar))
     frequencies = term_frequencies(docs, text, pairs.select("term").distinct())
-    joined = pairs.join(n_entity, "entity").join(frequencies, "term")
-    pmi = F.log2(F.col("n_pair") * F.lit(float(total)) / (F.col("n_docs").cast("double") * F.col("n_entity")))
-    information = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return joined.where((information > 0) & (pmi >= information / alpha)).select("entity", "term")
+    joined = pairs.join(frequencies, "term")
+    return joined.where(lower_share(F.col("n_pair"), F.col("n_docs"), z) >= bar).select("class", "term")
 
 
 def sanitise(
-    docs: DataFrame, text: str = "text", alpha: float = 1.25, support: int = 3, out: str = "pii",
+    docs: DataFrame, text: str = "text", alpha: float = 1.25, support: int = 3, z: float = 1.645, out: str = "pii",
     keep_text: bool = False, redacted: bool = False,
 ) -> DataFrame:
     """All columns of `docs` but the text (unless `keep_text`; then `redacted` cleans it), and the struct `out` with entities and terms: (start,
-    end, action) of revealing terms, action being generalise or remove.
-
-    All terms of a document that holds an entity are judged, wherever they stand, and a revealing one is treated at
-    every place of the text. Null and empty texts have no spans; texts are read whole; a repeated row counts as a
-    document of its own; an empty table stays empty; a column named like `out` is replaced. Only rows that hold an
-    entity are joined; all others pass through. Counts cover all documents.
+    end, action, letters) of revealing terms, action being generalise (to so many letters) or remove.
+
+    An entity in fewer than `support` documents is judged as its group, a group in fewer as its kind, so every entity is
+    judged at one level. `z` sets the Wilson bound of what documents prove. All terms of a document that holds an entity
+    are judged, wherever they stand, and a revealing one is treated at every place of the text. Null and empty texts have
+    no spans; texts are read whole; a repeated row counts as a document of its own; an empty table stays empty; a column
+    named like `out` is replaced. Only rows that hold an entity are joined; all others pass through. Counts cover all
+    documents.
     """
     row, terms, body = free_name(docs, "__row"), free_name(docs, "__terms"), free_name(docs, "__body")
     kept = [F.col(f"`{c}`") for c in docs.columns if c != out and (keep_text or c != text)]
     total = docs.count()
     marked = docs.withColumn(body, F.col(text)).withColumn(out, find_entities(F.col(text))).select(*kept, body, out)
-    none = F.expr("cast(array() as array<struct<start:long,end:long,action:string>>)")
+    none = F.expr(f"cast(array() as {PLACES})")
     clean = marked.where(F.size(f"{out}.entities") == 0).drop(body)
     clean = clean.withColumn(out, F.struct(F.col(f"{out}.entities").alias("entities"), none.alias("terms")))
     held = cut_lineage(marked.where(F.size(f"{out}.entities") > 0).withColumn(row, F.expr("uuid()")))  # row names hold
-    who = held.select(row, F.explode(f"{out}.keys").alias("entity"))
-    # an entity in fewer documents than `support` has no pair that reaches it
-    n_entity = cut_lineage(who.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
-    often = who.join(n_entity, "entity").groupBy(row).agg(F.collect_list("entity").alias("who"))
-    seen = held.select(row, body).join(often, row).select(row, "who", find_terms(F.col(body))["terms"].alias("t"))
+    keys = held.select(row, F.explode(f"{out}.keys").alias("k")).select(row, "k.*")
+    level = lambda name: held.select(F.explode(F.array_distinct(F.transform(f"{out}.keys", lambda k: k[name]))).alias(name))
+    count = lambda name: level(name).groupBy(name).agg(F.count("*").alias(f"n_{name}"))
+    enough = lambda name: count(name).where(F.col(f"n_{name}") >= support)
+    judged = keys.join(enough("entity"), "entity", "left").join(enough("family"), "family", "left").join(count("kind"), "kind")
+    pick = lambda *a: F.when(F.col("n_entity").isNotNull(), a[0]).when(F.col("n_family").isNotNull(), a[1]).otherwise(a[2])
+    named = F.struct(
+        pick(*map(F.col, ("entity", "family", "kind"))).alias("class"), pick(*map(F.col, ("n_entity", "n_family", "n_kind"))).alias("n_class")
+    )
+    who = judged.groupBy(row).agg(F.collect_set(named).alias("who"))  # no more than the entities of one text
+    seen = held.select(row, body).join(who, row).select(row, "who", find_terms(F.col(body))["terms"].alias("t"))
     seen = cut_lineage(seen)
-    seen = seen.select(row, F.explode("who").alias("entity"), "t").select(row, "entity", F.explode("t").alias("term"))
-    told = cut_lineage(disclosing(seen, n_entity, docs, text, total, alpha, support))
-    named = seen.join(told, ["entity", "term"]).groupBy(row).agg(F.collect_list(F.struct("entity", "term")).alias(terms))
+    seen = seen.select(row, F.explode("who").alias("w"), "t").select(row, "w.*", F.explode("t").alias("term"))
+    told = cut_lineage(disclosing(seen, docs, text, total, alpha, z))
+    named = seen.join(told, ["class", "term"]).groupBy(row).agg(F.collect_set("term").alias(terms))  # terms of one text
     marked = held.join(named, row, "left").withColumn(terms, find_places(F.col(body), F.col(terms)))
     result = F.struct(F.col(f"{out}.entities").alias("entities"), F.coalesce(terms, none).alias("terms"))
     marked = marked.withColumn(out, result).drop(row, terms, body)
@@ -260,7 +295,7 @@ def redact(text, spans):
 
     def apply(value: str, entity: list, term: list) -> str:
         marks = [(x["start"], -x["end"], f"<{x['kind'].upper()}>") for x in entity]
-        marks += [(x["start"], -x["end"], value[x["start"] : x["start"] + PREFIX] + "*" if x["action"] == "generalise" else "") for x in term]
+        marks += [(x["start"], -x["end"], value[x["start"] : x["start"] + x["letters"]] + "*" if x["letters"] else "") for x in term]
         parts, at = [], 0
         for start, end, new in sorted(marks):
             if start >= at:
