@@ -63,12 +63,13 @@ def _forward(w, z):
 
 def fit_network(
     positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 400, rate: float = 0.02,
-    decay: float = 1e-4, seed: int = 5,
+    decay: float = 1e-4, seed: int = 5, apart: bool = False,
 ) -> Model:
     """Minimise prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]) with the logistic loss l.
 
     The second term estimates the risk on negatives without seeing one; where over-fitting drives it below zero, the
-    step goes against its gradient instead, which keeps the estimate non-negative.
+    step goes against its gradient instead, which keeps the estimate non-negative. With `apart` the two samples are told
+    apart instead: half E_P[l(g)] + half E_U[l(-g)].
     """
     both = np.concatenate([positive, unlabelled])
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-6
@@ -82,10 +83,13 @@ def fit_network(
         h, g = _forward(w, z)
         g = np.clip(g, -30, 30)
         up = 1 / (1 + np.exp(-g))  # derivative of l(-g); that of l(g) is up - 1
-        loss_minus = np.logaddexp(0, g) * share
-        negative = loss_minus[~is_p].sum() - prior * loss_minus[is_p].sum()
-        d_negative = share * up * np.where(is_p, -prior, 1.0)
-        d = -d_negative if negative < 0 else d_negative + np.where(is_p, prior * share * (up - 1), 0.0)
+        if apart:
+            d = share * np.where(is_p, up - 1, up) / 2
+        else:
+            loss_minus = np.logaddexp(0, g) * share
+            negative = loss_minus[~is_p].sum() - prior * loss_minus[is_p].sum()
+            d_negative = share * up * np.where(is_p, -prior, 1.0)
+            d = -d_negative if negative < 0 else d_negative + np.where(is_p, prior * share * (up - 1), 0.0)
         dh = d[:, None] @ w[2].T * (1 - h * h)
         grads = [z.T @ dh + decay * w[0], dh.sum(0), h.T @ d[:, None] + decay * w[2], np.array([d.sum()])]
         for k, grad in enumerate(grads):
@@ -95,6 +99,31 @@ def fit_network(
     return Model(mean, scale, w, prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5, delta: float = 0.1) -> float:
+    """The share of positives among unlabelled documents, from positives and unlabelled rows alone.
+
+    If the documents above a score held positives only, the unlabelled share above it over the positive share above it
+    would be the class prior; elsewhere it is more. So the prior is that ratio where its upper confidence end is least.
+    Scores come from a network that tells the two samples apart, fitted on one half and read on the other, both ways.
+    """
+    rng = np.random.default_rng(seed)
+    deal = [(x, rng.permutation(len(x)) % 2) for x in (positive, unlabelled)]
+    found = []
+    for half in (0, 1):
+        (p, u), (tp, tu) = [x[h != half] for x, h in deal], [x[h == half] for x, h in deal]
+        if not min(map(len, (p, u, tp, tu))):
+            continue
+        model = fit_network(p, u, 0.5, seed=seed, apart=True)
+        sp, su = np.sort(model.score(tp)), np.sort(model.score(tu))
+        cuts = np.unique(sp)
+        above_p = 1 - np.searchsorted(sp, cuts) / len(sp)
+        above_u = 1 - np.searchsorted(su, cuts) / len(su)
+        slack = np.sqrt(np.log(4 / delta) / 2) * (len(sp) ** -0.5 + len(su) ** -0.5)
+        best = np.argmin((above_u + slack) / above_p)
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), 0.01, 0.99)) if found else 0.5
+
+
 def learnable(doc_id) -> object:
     """Rows that may teach: crc32 of the id as text is no multiple of 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
@@ -107,8 +136,8 @@ def fit(
     """Train on learnable rows: about `max_positive` trusted positives and `max_unlabelled` documents whose labels are
     not looked at, both picked by the hash of their id (all rows when there are fewer).
 
-    The class prior is the smoothed share of positives among learnable labels. Ids with contradicting labels and null
-    labels teach nothing. Without a trusted positive or without documents every score is 0.5.
+    The class prior is estimated from the same rows (`estimate_prior`); no negative label is read for it. Ids with
+    contradicting labels and null labels teach nothing. Without a trusted positive or without documents every score is 0.5.
     """
     key = F.col("doc_id").cast("long").alias("id")
     known = labels.select(key, F.col("quality").cast("int").alias("q")).where("q is not null").groupBy("id").agg(
@@ -116,10 +145,9 @@ def fit(
     ).where("low = high").select("id", F.col("low").alias("q"))
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where(learnable(F.col("id"))).distinct()
     marked = ids.join(known, "id", "left")
-    total = marked.agg(F.count("*").alias("n"), F.count_if(F.col("q") == 1).alias("p"), F.count_if(F.col("q") == 0).alias("z")).first()
-    prior = (total.p + 1) / (total.p + total.z + 2)
+    total = marked.agg(F.count("*").alias("n"), F.count_if(F.col("q") == 1).alias("p")).first()
     if not total.p:
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), None, prior)
+        return Model(np.zeros(FEATURES), np.ones(FEATURES), None, 0.5)
     limit = lambda most, n: int(min(1.0, most / max(n, 1)) * (1 << 30))
     drawn = lambda salt, most, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) < limit(most, n)
     as_positive, as_unlabelled = drawn(11, max_positive, total.p), drawn(12, max_unlabelled, total.n)
@@ -133,8 +161,8 @@ def fit(
     x = np.array(found["x"].combine_chunks().flatten()).reshape(-1, FEATURES) if found.num_rows else np.zeros((0, FEATURES))
     p, u = np.array(found["p"].to_pylist(), bool), np.array(found["u"].to_pylist(), bool)
     if not p.any() or not u.any():
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), None, prior)
-    return fit_network(x[p], x[u], prior)
+        return Model(np.zeros(FEATURES), np.ones(FEATURES), None, 0.5)
+    return fit_network(x[p], x[u], estimate_prior(x[p], x[u]))
 
 
 def _features(text):

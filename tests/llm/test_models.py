@@ -49,6 +49,18 @@ def test_lm_empty(empty):
     assert lm.score_text(model, b"any word")[0] == 2
 
 
+def test_prior_needs_no_negative_label():
+    rng = np.random.default_rng(3)
+    draw = lambda mean, n: rng.normal(mean, 1, (n, quality.FEATURES))
+    for prior in (0.3, 0.6, 0.85):
+        n = int(4000 * prior)
+        mixed = np.concatenate([draw(0, n), draw(1.5, 4000 - n)])
+        assert abs(quality.estimate_prior(draw(0, 2000), mixed) - prior) < 0.06
+    # labels drawn from positives alone say nothing of the share: it is still found
+    assert quality.estimate_prior(draw(0, 2000), draw(0, 4000)) > 0.9
+    assert 0 < quality.estimate_prior(draw(0, 1), draw(0, 1)) < 1
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(0)
     good = rng.normal(0, 1, (3000, quality.FEATURES))
