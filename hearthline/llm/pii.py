@@ -191,12 +191,27 @@ def term_frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_filter(terms))
 
     def count(batches):
-        bits, counts, keys = shared.value, {}, {}
+        bits, counts, keys, heads = shared.value.astype("<i8").tobytes(), {}, {}, {}
 
         def passes(k: int) -> bool:
             u = k & 0xFFFFFFFFFFFFFFFF
             a, b = u % FILTER_BITS, (u >> 30) % FILTER_BITS
-            return bool(int(bits[a >> 6]) >> (a & 63) & 1 and int(bits[b >> 6]) >> (b & 63) & 1)
+            return bool(bits[a >> 3] >> (a & 7) & 1 and bits[b >> 3] >> (b & 7) & 1)
+
+        def looked_for(form: str) -> int | None:
+            k = key_of(form)
+            return k if passes(k) else None
+
+        def wanted(word: str) -> tuple:
+            first, *more = forms_of(word)
+            out = [looked_for(first)]
+            for form in more:  # words share their general forms
+                if form not in heads:
+                    if len(heads) >= 200_000:
+                        heads.clear()
+                    heads[form] = looked_for(form)
+                out.append(heads[form])
+            return tuple(k for k in out if k is not None)
 
         def rows():
             return pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
@@ -210,7 +225,7 @@ def term_frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
                     if got is None:
                         if len(keys) >= 200_000:
                             keys.clear()
-                        got = keys[word] = tuple(k for k in map(key_of, forms_of(word)) if passes(k))
+                        got = keys[word] = wanted(word)
                     met.update(got)
                 for k in met:
                     counts[k] = counts.get(k, 0) + 1
@@ -231,14 +246,17 @@ def lower_share(hits, of, z: float):
     return (hits + z * z / 2 - z * spread) / (of + z * z)
 
 
-def disclosing(seen: DataFrame, docs: DataFrame, text: str, total: int, alpha: float, z: float) -> DataFrame:
+def disclosing(seen: DataFrame, held: DataFrame, docs: DataFrame, text: str, total: int, alpha: float, z: float) -> DataFrame:
     """(class, term): terms that give away at least 1/alpha of the information of a class of entities. `seen` has a row
-    per document, class (with `n_class`, its documents) and term of it."""
+    per document, class (with `n_class`, its documents) and term of it, `held` one per document with an entity and term."""
     pairs = seen.groupBy("class", "n_class", "term").agg(F.count("*").alias("n_pair"))
     # log2(share / p) >= -log2(p) / alpha, with the logarithms gone
     bar = F.pow(F.col("n_class") / F.lit(float(max(total, 1))), F.lit(1 - 1 / alpha))
-    # a term stands in n_pair documents at least, so what fails even then need not be looked up
-    pairs = cut_lineage(pairs.where(lower_share(F.col("n_pair"), F.col("n_pair"), z) >= bar))
+    # a term stands in n_pair documents at least, and in those that hold any entity: what fails even then need not be
+    # looked up in all documents
+    pairs = pairs.where(lower_share(F.col("n_pair"), F.col("n_pair"), z) >= bar)
+    pairs = pairs.join(held.groupBy("term").agg(F.count("*").alias("n_held")), "term")
+    pairs = cut_lineage(pairs.where(lower_share(F.col("n_pair"), F.col("n_held"), z) >= bar).drop("n_held"))
     frequencies = term_frequencies(docs, text, pairs.select("term").distinct())
     joined = pairs.join(frequencies, "term")
     return joined.where(lower_share(F.col("n_pair"), F.col("n_docs"), z) >= bar).select("class", "term")
@@ -278,8 +296,9 @@ def sanitise(
     who = judged.groupBy(row).agg(F.collect_set(named).alias("who"))  # no more than the entities of one text
     seen = held.select(row, body).join(who, row).select(row, "who", find_terms(F.col(body))["terms"].alias("t"))
     seen = cut_lineage(seen)
+    every = seen.select(F.explode("t").alias("term"))
     seen = seen.select(row, F.explode("who").alias("w"), "t").select(row, "w.*", F.explode("t").alias("term"))
-    told = cut_lineage(disclosing(seen, docs, text, total, alpha, z))
+    told = cut_lineage(disclosing(seen, every, docs, text, total, alpha, z))
     named = seen.join(told, ["class", "term"]).groupBy(row).agg(F.collect_set("term").alias(terms))  # terms of one text
     marked = held.join(named, row, "left").withColumn(terms, find_places(F.col(body), F.col(terms)))
     result = F.struct(F.col(f"{out}.entities").alias("entities"), F.coalesce(terms, none).alias("terms"))
