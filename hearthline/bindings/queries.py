@@ -998,6 +998,46 @@ def _(m):
     )
 
 
+@query(
+    "validate_records_units",
+    """SELECT 'unit_versions' AS "table", version_id AS key, x.message FROM units,
+       (VALUES ('effective_to must be later than effective_from', 1), ('lot_area_m2 out of range', 2),
+               ('built_area_m2 out of range', 3)) x(message, k)
+       WHERE (k = 1 AND effective_to - INTERVAL 60 DAY <= effective_from) OR (k = 2 AND lot_area_m2 - 100 <= 0)
+          OR (k = 3 AND built_area_m2 - 40 <= 0)""",
+)
+def _(m):
+    spoiled = m.units.withColumns(
+        {
+            "effective_to": F.col("effective_to") - F.expr("INTERVAL 60 DAYS"),
+            "lot_area_m2": F.col("lot_area_m2") - 100, "built_area_m2": F.col("built_area_m2") - 40,
+        }
+    )
+    return quality.validate_records(spoiled, "unit_versions", key="version_id").select(
+        "table", "key", "message"
+    )
+
+
+@query(
+    "validate_records_travel",
+    """SELECT 'travel_times' AS "table", origin_anchor_id || '>' || destination_anchor_id AS key, x.message FROM travel,
+       (VALUES ('valid_from must be before valid_to', 1), ('travel_time_min out of range', 2)) x(message, k)
+       WHERE (k = 1 AND valid_from >= valid_to - INTERVAL 61 DAY) OR (k = 2 AND travel_time_min - 30 <= 0)""",
+)
+def _(m):
+    spoiled = m.travel.withColumns(
+        {
+            "key": F.concat("origin_anchor_id", F.lit(">"), "destination_anchor_id"),
+            "valid_to": F.col("valid_to") - F.expr("INTERVAL 61 DAYS"),
+            "travel_time_min": F.col("travel_time_min") - 30,
+            "distance_km": F.lit(None).cast("double"), "reliability_p90_min": F.lit(None).cast("double"),
+        }
+    )
+    return quality.validate_records(spoiled, "travel_times", key="key").select(
+        "table", "key", "message"
+    )
+
+
 # ---------------------------------------------------------------- as-of features
 
 
