@@ -319,3 +319,50 @@ def test_every_feature_name_is_kept(spark):
     d = spark.createDataFrame([("1", "h", day(4))], "decision_id string, household_id string, as_of timestamp")
     got = features.feature_rows(features.asof_features(d, obs), ["decision_id"]).collect()
     assert {(r["feature_name"], r["value"]) for r in got} == {("workplace_zone", "A"), ("anything_new", "x")}
+
+
+def test_unit_listed_by_two_projects_stays_in_both_sets(spark):
+    u = units(spark, ("u", "available", day(1), None))
+    u = u.unionByName(u.withColumns({"project_id": F.lit("q"), "version_id": F.lit("w")}))
+    asked = asofs(spark, day(5)).unionAll(asofs(spark, day(5)).withColumn("project_id", F.lit("q")))
+    rows, bad = choices.choice_set(asked, u, offers(spark, ("u", 1e9, day(1), None)), outside=False)
+    assert sorted((r.project_id, r.alternative_id) for r in rows.collect()) == [("p", "K-u"), ("q", "K-u")]
+    assert bad.count() == 0
+
+
+def test_sets_over_years_match_brute_force(spark):
+    """Versions and offers that cross cells, overlap and share starts: the sets of a plain loop."""
+    from datetime import timedelta
+
+    zero = datetime(2020, 1, 1, tzinfo=timezone.utc)
+    at = lambda n: zero + timedelta(days=n)
+    u = [(f"u{i % 4}", "sold" if i % 5 == 0 else "available", at(37 * i), at(37 * i + 90 + 11 * i) if i % 6 else None)
+         for i in range(30)]
+    o = [(f"u{i % 4}", float(i), at(23 * i), at(23 * i + 40 + i % 7 * 60) if i % 9 else None) for i in range(50)]
+    days = list(range(0, 1500, 13))
+    sets, bad = choices.choice_sets(
+        asofs(spark, *[at(n) for n in days]), units(spark, *u), offers(spark, *o), outside=False
+    )
+    got = {r.as_of: [(a.alternative_id, a.effective_price) for a in r.alts] for r in sets.collect()}
+    live = lambda rows, key, t: max(
+        ((r[2], r) for r in rows if r[0] == key and r[2] <= t and (r[3] is None or t < r[3])), default=(None, None)
+    )[1]
+    for n in days:
+        want = []
+        for key in ("u0", "u1", "u2", "u3"):
+            version, offer = live(u, key, at(n)), live(o, key, at(n))
+            if version and version[1] == "available" and offer:
+                want.append((f"K-{key}", offer[1]))
+        assert got[at(n).replace(tzinfo=None)] == want
+    assert bad.count() == 0
+
+
+def test_winners_after_an_interval_join_are_not_shuffled_again(spark):
+    """One long version among short ones keeps one cell size, so only the two sides of the join move."""
+    rows = [(f"u{i}", "available", day(1), day(2)) for i in range(30)] + [("u", "available", day(1, 1), None)]
+    found = choices.scd_active_units(asofs(spark, day(1), day(20, 12)), units(spark, *rows), horizon=day(20, 12))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan and "unit_id" in plan
+    moves = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert not [line for line in moves if "unit_id" in line]
+    assert found.count() == 32
