@@ -366,3 +366,11 @@ def test_winners_after_an_interval_join_are_not_shuffled_again(spark):
     moves = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
     assert not [line for line in moves if "unit_id" in line]
     assert found.count() == 32
+
+
+def test_commute_can_come_once_per_decision(spark):
+    rows = spark.createDataFrame([("d", "K-u", "unit"), ("d", "OUT-RENT", "continue_renting"), ("e", "K-u", "unit")],
+                                 "decision_id string, alternative_id string, alternative_type string")
+    known = spark.createDataFrame([("d", 12.0)], "decision_id string, commute_min double")
+    got = {(r[0], r[1]): r.commute_min for r in choices.add_commute(rows, known, on=["decision_id"]).collect()}
+    assert got == {("d", "K-u"): 12.0, ("d", "OUT-RENT"): None, ("e", "K-u"): None}
