@@ -19,7 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are no near copy (0.8 of five-word shingles) of one with a smaller id."""
+    """Documents that are no near copy (0.8 of five-word shingles) of one with a smaller id: the trie self-join of their
+    SimHash fingerprints and MinHash bands name candidates, whole shingle sets confirm them."""
     return near_copies.keep_one(docs)
 
 

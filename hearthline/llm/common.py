@@ -40,17 +40,43 @@ def struct_array(rows: list[tuple], kind: pa.StructType) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, fields)], fields=fields)
 
 
+def give_back() -> None:
+    """Return memory that this process no longer uses to the system: Spark keeps workers from stage to stage, and what a
+    finished task freed counts against the next one's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives back its memory when its task ends."""
+
+    def freed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return freed
+
+
 def text_udf(make: Callable[[], Callable[[list[bytes]], list[tuple]]], ddl: str) -> Callable[[Column], Column]:
     """A scalar Arrow UDF from a text column (null: empty) to a struct. `make()` runs once per task and returns a
     function from a list of UTF-8 texts to as many tuples. Other columns never enter Python."""
     kind = T.StructType.fromDDL(ddl)
     arrow = to_arrow_type(kind)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         apply = make()
         for batch in batches:
             yield struct_array(apply([x or b"" for x in batch.to_pylist()]), arrow)
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from freeing(rows)(batches)
+
     # the kind is passed by name: annotations are strings in this module
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(run, kind).asNondeterministic()  # evaluated once, never duplicated by the optimizer

@@ -1,7 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, whole shingle sets confirm them.
+"""Near copies by the Jaccard similarity of word shingles: the trie self-join of SimHash fingerprints and, for what its
+budget cannot reach, MinHash bands find candidates; whole shingle sets confirm them.
 
-A Hamming budget on fingerprints cannot stand in for a similarity of 0.8: such pairs differ in a dozen of 64 bits and
-more, and blocks for a budget that wide are 5 bits, so nearly everything meets everything.
+A Hamming budget on fingerprints cannot stand in for a similarity of 0.8 alone: such pairs differ in a dozen of 64 bits
+and more, and blocks for a budget that wide are 5 bits, so nearly everything meets everything.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import each, free_name, text_udf
-from hearthline.llm.simhash import LOWER
+from hearthline.llm.common import each, free_name, freeing, text_udf
+from hearthline.llm.simhash import LOWER, components, fingerprint, near_links
 from hearthline.session import cut_lineage
 
 #: Bands and rows a band, by round. A pair of similarity s shares a band of a round with probability 1 - (1 - s^rows)^bands:
@@ -81,7 +82,7 @@ def _sketcher(width: int):
         def one(text: bytes) -> tuple:
             found = shingles(text)
             digest = _signed(xxhash.xxh64_intdigest(found.tobytes()))
-            return digest, len(found), cells(found) if len(found) else []
+            return digest, len(found), _signed(fingerprint(text, width)), cells(found) if len(found) else []
 
         return one
 
@@ -101,7 +102,7 @@ def _dealt_again(sets: DataFrame, number: int) -> DataFrame:
                 named = [part.column(c).take(who) for c in ("digest", "id", "size")]
                 yield pa.RecordBatch.from_arrays([*named, pa.array(np.concatenate(found), pa.int64())], names=["digest", "id", "size", "cell"])
 
-    return sets.mapInArrow(run, "digest long, id long, size long, cell long")
+    return sets.mapInArrow(freeing(run), "digest long, id long, size long, cell long")
 
 
 def _set_maker(width: int):
@@ -137,7 +138,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     one = sets.select(F.col("digest").alias("large"), F.col("shingles").alias("b"))
     two = sets.select(F.col("digest").alias("small"), F.col("shingles").alias("a"))
-    return pairs.join(one, "large").join(two, "small").mapInArrow(run, "small long, large long")
+    return pairs.join(one, "large").join(two, "small").mapInArrow(freeing(run), "small long, large long")
 
 
 def _crowded(cells: DataFrame) -> DataFrame:
@@ -145,16 +146,25 @@ def _crowded(cells: DataFrame) -> DataFrame:
     return cut_lineage(cells.join(several, "cell", "left_semi"))
 
 
-def near_larger(docs: DataFrame, prints: DataFrame, width: int, least: float) -> DataFrame:
+def _trie_cells(sets: DataFrame, budget: int) -> DataFrame:
+    """(digest, id, size, cell): a cell for each component of fingerprints that the trie self-join links."""
+    some = sets.where("size > 0").select("digest", "id", "size", "bits")
+    nodes = components(near_links(some.select("bits"), budget)).withColumnRenamed("node", "bits")
+    root = F.coalesce("root", "bits")
+    return some.join(nodes, "bits", "left").select("digest", "id", "size", F.xxhash64(F.lit("trie"), root).alias("cell"))
+
+
+def near_larger(docs: DataFrame, prints: DataFrame, width: int, least: float, budget: int = 3) -> DataFrame:
     """Digests of the sets that are near one of a smaller id.
 
-    In every cell of a round the set of the smallest id is held against the others, so a round's pairs are at most one a
+    The first round's cells are the components of fingerprints within `budget` bits and the first MinHash bands. In every cell of a round the set of the smallest id is held against the others, so a round's pairs are at most one a
     set and band however large a cell is. Sets found near leave. Where two or more others are left in a cell, they go to
     the next round, whose bands have more rows: texts alike in little part there, near ones still meet. A very long text
     is one set of eight bytes a different shingle.
     """
-    sets = prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    cells = _crowded(sets.select("digest", "id", "size", F.explode("bands").alias("cell")))
+    sets = prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.min("bits").alias("bits"), F.first("bands").alias("bands"))
+    banded = sets.select("digest", "id", "size", F.explode("bands").alias("cell"))
+    cells = _crowded(_trie_cells(cut_lineage(sets.drop("bands")), budget).unionAll(banded))
     named = cells.select("digest", "id").distinct()
     texts = docs.join(named.select("id", F.col("digest").alias("want")), docs["doc_id"] == named["id"])
     made = texts.select("want", text_udf(each(_set_maker(width)), "digest long, shingles binary")(F.col("t")).alias("s"))
@@ -187,7 +197,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least:
     rows that repeat an id one stays. Rows without an id stay: nothing names them. An empty table stays empty.
     """
     named = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("doc_id"), docs[text].alias("t"))
-    sketch = text_udf(each(_sketcher(width)), "digest long, size long, bands array<long>")
+    sketch = text_udf(each(_sketcher(width)), "digest long, size long, bits long, bands array<long>")
     prints = cut_lineage(named.select("doc_id", sketch(F.col("t")).alias("s")).select("doc_id", "s.*"))
     gone = near_larger(named, prints, width, least)
     first = prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(gone, "digest", "left_anti")

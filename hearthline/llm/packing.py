@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import encoder
+from hearthline.llm.common import encoder, freeing
 
 
 def differencing(sizes: list[int], k: int) -> tuple[int, list[list[int]]]:
@@ -143,7 +143,7 @@ def pack(
         if rows:
             yield _batch(rows)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text).cast("binary")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text).cast("binary")).mapInArrow(freeing(run), SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

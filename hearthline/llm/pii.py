@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import each, free_name, text_udf
+from hearthline.llm.common import each, free_name, freeing, text_udf
 from hearthline.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -235,7 +235,7 @@ def term_frequencies(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
         if counts:
             yield rows()
 
-    found = docs.select(F.col(text).cast("binary")).mapInArrow(count, "term long, n long")
+    found = docs.select(F.col(text).cast("binary")).mapInArrow(freeing(count), "term long, n long")
     return found.groupBy("term").agg(F.sum("n").alias("n_docs")).join(terms, "term", "left_semi")
 
 

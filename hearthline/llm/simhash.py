@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import each, free_name, text_udf
+from hearthline.llm.common import each, free_name, freeing, text_udf
 from hearthline.session import cut_lineage
 
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -162,7 +162,7 @@ def near_links(prints: DataFrame, budget: int = 2, leaf: int = 4096) -> DataFram
             large = None if large.isEmpty() else large
         small = rows if large is None else rows.join(large, "cell", "left_anti")
         small = small.select("cell", "bits").repartition("cell").sortWithinPartitions("cell")
-        found.append(small.mapInArrow(_joiner(budget), "a long, b long"))
+        found.append(small.mapInArrow(freeing(_joiner(budget)), "a long, b long"))
         if large is None:
             break
         rows, width = cut_lineage(rows.join(large, "cell", "left_semi").select("bits", "rest", "cell")), open_

@@ -77,3 +77,28 @@ def test_null_repeated_and_clashing_rows(spark):
     assert got.columns == ["doc_id", "text", "digest", "cell", "id", "bands"]
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "None"]
     assert near_copies.keep_one(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_the_trie_join_alone_finds_close_copies(spark, monkeypatch):
+    """With MinHash bands that meet nothing, copies within the fingerprint budget still go, and unlike texts stay."""
+    from hearthline.llm import near_copies
+
+    rng = random.Random(11)
+    base = [[f"v{rng.randrange(9000)}" for _ in range(900)] for _ in range(20)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)] + [(100 + k, " ".join(b + ["end"])) for k, b in enumerate(base)]
+    prints = {i: near_copies.fingerprint(t.encode(), 5) for i, t in rows}
+    close = {100 + k for k in range(20) if (prints[k] ^ prints[100 + k]).bit_count() <= 3}
+    assert len(close) > 10
+    plain = near_copies._sketcher
+
+    def blind(width):
+        def make():
+            one = plain(width)()
+            return lambda text: (*one(text)[:3], [])
+
+        return make
+
+    monkeypatch.setattr(near_copies, "_sketcher", blind)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    stay = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert set(range(20)) <= stay and not close & stay
