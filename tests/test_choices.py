@@ -259,6 +259,49 @@ def test_asof_matches_range_join_on_a_hot_key(spark):
     )
 
 
+def test_asof_of_hot_keys_in_time_buckets(spark, monkeypatch):
+    left = spark.range(300).select(
+        F.when(F.col("id") % 50 == 3, None).when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(0).alias("k"),
+        F.when(F.col("id") % 41 != 5, F.timestamp_seconds(1767225600 + (F.col("id") * 7919) % 5000000)).alias("t"), "id",
+    )
+    right = spark.range(200).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 7).when(F.col("id") % 40 != 1, 0).alias("k"),
+        F.timestamp_seconds(1767225600 + F.floor((F.col("id") * 104729) % 5000000 / 100000) * 100000).alias("rt"),
+        (F.col("id") % 5).alias("s"), F.concat(F.lit("v"), "id").alias("v"),
+    )
+    ask = lambda: temporal.asof_latest(
+        left, right, on=["k"], left_ts="t", right_ts="rt", tie=["s", "v"], values={"out": "v"}, bucket_days=3
+    )
+    cold = ask()
+    monkeypatch.setattr(temporal, "HOT_ROWS", 1)
+    assert temporal.hot_groups(left, on=["k"])
+    slow = left.join(right.withColumnRenamed("k", "k2"), (F.col("k") == F.col("k2")) & (F.col("rt") <= F.col("t")), "left")
+    want = slow.groupBy("id").agg(
+        F.max(F.when(F.col("v").isNotNull(), F.struct("rt", "s", "v"))).alias("b")
+    ).select("id", F.col("b.v").alias("out"))
+    want = sorted(map(tuple, want.collect()))
+    assert len(want) == 300 and sum(out is None for _, out in want) > 10
+    for got in (cold, ask()):
+        assert sorted(map(tuple, got.select("id", "out").collect())) == want
+
+
+def test_asof_features_take_one_shuffle(spark):
+    events = spark.createDataFrame(
+        [("qualification_observed", "a", day(1), "s", "1", {"workplace_zone": "A"}),
+         ("qualification_observed", "a", day(1), "s", "2", {"workplace_zone": "B"})],
+        "event_type string, entity_id string, occurred_at timestamp, source_id string, source_event_key string, "
+        "payload map<string,string>",
+    )
+    wide = features.feature_columns(events, ["workplace_zone"], anchor="place")
+    d = wide.select("household_id", F.lit(day(3)).alias("as_of"), F.lit("d").alias("decision_id"))
+    got = features.asof_features(d, wide)
+    # decisions ride along; before, points and observations were shuffled five times
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+    assert [(r.decision_id, tuple(r.f_workplace_zone), tuple(r.f_place)) for r in got.collect()] == [
+        ("d", ("s:2", "B"), ("s:2", "B"))
+    ] * 2
+
+
 TRAVEL = (
     "origin_anchor_id string, destination_anchor_id string, mode string, "
     "departure_bucket string, travel_time_min double, observed_at timestamp, "
