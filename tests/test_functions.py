@@ -69,3 +69,33 @@ def test_uniform_is_flat_and_repeatable(spark):
     row = df.agg(F.avg("u").alias("m"), F.min("u").alias("lo"), F.max("u").alias("hi")).first()
     assert abs(row["m"] - 0.5) < 0.01 and row["lo"] >= 0 and row["hi"] < 1
     assert sorted(df.repartition(1).collect()) == sorted(df.repartition(7).collect())
+
+
+def test_table_digest_equals_the_sum_of_lanes(spark):
+    import hashlib
+
+    from hearthline.functions.hashing import canonical_json, digest_root, multiset_digest, table_digest
+
+    df = spark.range(700).select(F.when(F.col("id") % 9 != 0, F.sha2(F.col("id").cast("string"), 256)).alias("h"))
+    known = [hashlib.sha256(str(i).encode()).digest() for i in range(700) if i % 9]
+    lanes = [sum(int.from_bytes(h[4 * i:4 * i + 4], "big") for h in known) for i in range(8)]
+    want = hashlib.sha256("|".join(map(str, [len(known), *lanes])).encode()).hexdigest()
+    got = table_digest(df.select(F.unhex("h").alias("h"))).first()
+    assert (got["rows"], got["digest"]) == (700, want)
+    assert df.agg(digest_root(multiset_digest(F.col("h"))).alias("d")).first()["d"] == want
+    assert tuple(table_digest(df.limit(0)).first())[0] == 0
+    # a key that JSON holds twice, an escape and a null
+    m = F.from_json(F.lit('{"b":"x\\"","a":"1","a":"2","c":null}'), "map<string,string>")
+    assert spark.range(1).select(canonical_json(m).alias("j")).first()["j"] == '{"a":"1","a":"2","b":"x\\"","c":null}'
+
+
+def test_parsed_fields_are_read_once(spark):
+    from hearthline.sources import events, tables
+
+    lines = spark.createDataFrame([("{}",)], "value string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(events.parse_event_lines(lines)[0]).count("from_json(") == 1
+    raw = spark.createDataFrame([("2026-01-02T03:04:05+0100",)], "effective_from string")
+    assert plan(tables.parse_offers(raw)[0]).count("try_to_timestamp") <= 2
+    got = raw.select(ps.parse_ts(F.col("effective_from")).alias("t"), ps.parse_ts(F.lit("2026-01-02T02:04:05Z")).alias("u")).first()
+    assert got["t"] == got["u"]
