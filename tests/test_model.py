@@ -304,6 +304,21 @@ def test_higher_price_never_raises_the_unit_share(spark):
         assert all(abs(r["n"] - 400) < 1e-9 for r in total.collect())
 
 
+def test_expected_mass_is_the_sum_of_picks(spark, monkeypatch):
+    crowd, sets = market(spark)
+    options = (Scenario("s"), Scenario("t", price_change_pct=-0.3), Scenario("v", eligible_product_types=("street_villa",)))
+    vectors = [{**DEFAULT_WEIGHTS, "price_per_billion": -i / 10} for i in range(5)]
+    want = scenarios.unit_share(scenarios.scenario_picks(crowd, sets, options, vectors, first_parameter=-1))
+    want = {(r.scenario_id, r.parameter): r.unit_share for r in want.collect()}
+    assert len(want) == 15
+    for cells in (scenarios.BLOCK_CELLS, 1):  # whole batches, and a set at a time
+        monkeypatch.setattr(scenarios, "BLOCK_CELLS", cells)
+        mass = scenarios.expected_mass(crowd, sets, options, vectors, first_parameter=-1)
+        got = {(r.scenario_id, r.parameter): r.unit_share for r in scenarios.unit_share(mass).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        assert abs(mass.where("scenario_id = 's' and parameter = 0").agg(F.sum("n")).first()[0] - 400) < 1e-9
+
+
 def test_sampling_agrees_with_expectation_and_repeats(spark):
     crowd, sets = market(spark)
     args = (crowd, sets, (Scenario("s"),))
