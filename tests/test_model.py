@@ -332,6 +332,72 @@ def test_sampling_agrees_with_expectation_and_repeats(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
 
 
+def plain_picks(crowd, sets, options, vectors, mode, replications):
+    """Picks by Spark's own expressions, a household and run at a time."""
+    scored = scenarios.score_scenarios(scenarios.population_sets(crowd, sets), options, vectors)
+    if mode == "expected":
+        cells = F.explode(F.arrays_zip(F.col("alts").alias("alts"), F.col("p").alias("p")))
+        rows = scored.select("*", F.lit(0).alias("replication"), cells.alias("c")).select(
+            "*", "c.alts.alternative_id", (F.col("c.p") * F.col("households")).alias("n")
+        )
+    else:
+        numbers = F.explode(F.sequence(F.lit(0), F.lit(replications - 1)))
+        scored = scored.where(F.size("alts") > 0)  # who has no alternative picks none, as in SQL
+        draws = scenarios.population_classes(crowd).select("class_id", "household_id", numbers.alias("replication"))
+        draws = draws.withColumn("u", scenarios.uniform("choice", F.col("replication") + F.lit(42), F.col("household_id")))
+        chosen = F.get("alts", scenarios.sampled_index(F.col("p"), F.col("u")))
+        rows = draws.join(scored, "class_id").withColumn("alternative_id", chosen["alternative_id"]).withColumn("n", F.lit(1.0))
+    keys = ["scenario_id", "parameter", "replication", "purchase_purpose", "project_id", "alternative_id"]
+    return {tuple(r)[:-1]: r["n"] for r in rows.groupBy(*keys).agg(F.sum("n").alias("n")).collect()}
+
+
+@pytest.mark.parametrize("mode", ["expected", "sampled"])
+def test_blocks_give_the_picks_of_plain_expressions(spark, monkeypatch, mode):
+    """Two projects of unlike sets, unknown prices, payments and commutes; blocks of every size, a set at a time."""
+    alts = [alt("a", 1e9, 1e7), alt("b", 2e9, 2e7, "street_villa"), alt("c", 3e9, None, "shophouse")]
+    alts += [(o, o, None, None, None, None, None, o) for o in ("continue_renting", "postponed", "land_house")]
+    other = [("d", "unit", "garden_villa", None, 7e7, "P", None, None), alt("OUT-NO-PURCHASE")]
+    sets = spark.createDataFrame([("p", alts), ("q", other), ("empty", [])], f"project_id string, alts array<{ALT}>")
+    k = F.substring("household_id", 2, 9).cast("int")
+    crowd = people(spark, 200).withColumns({
+        "project_id": F.when(k % 5 == 0, "q").when(k % 17 == 0, "empty").otherwise("p"),
+        "commute_min": F.when(k % 3 > 0, F.lit(15.0) + k % 4),
+        "purchase_horizon_days": F.when(k % 4 > 0, k),
+        "preferred_product_type": F.when(k % 7 > 0, F.when(k % 2 == 0, "street_villa").otherwise("garden_villa")),
+        "max_monthly_payment_million": F.when(k % 6 > 0, F.lit(5.0) + k % 20),
+        "purchase_purpose": F.when(k % 11 > 0, F.col("purchase_purpose")),
+    })
+    assert crowd.where("project_id = 'q'").count() and crowd.where("commute_min is null").count()
+    options = (Scenario("s"), Scenario("t", price_change_pct=-0.3, commute_multiplier=0.5), Scenario("v", eligible_product_types=("street_villa",)))
+    vectors = [{**DEFAULT_WEIGHTS, "price_per_billion": -i / 10} for i in range(3)]
+    want = plain_picks(crowd, sets, options, vectors, mode, 2)
+    keys = ["scenario_id", "parameter", "replication", "segment", "project_id", "alternative_id"]
+    for block, cells in ((64, 2_000_000), (7, 1)):
+        monkeypatch.setattr(scenarios, "BLOCK", block)
+        monkeypatch.setattr(scenarios, "BLOCK_CELLS", cells)
+        for merged in (True, False):
+            picks = scenarios.scenario_picks(crowd, sets, options, vectors, mode=mode, replications=2, merged=merged)
+            got = {tuple(r)[:-1]: r["n"] for r in picks.groupBy(*keys).agg(F.sum("n").alias("n")).collect()}
+            assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    if mode == "expected":
+        share = [
+            {tuple(r)[:4]: r["share"] for r in scenarios.choice_share(scenarios.scenario_picks(crowd, sets, options, vectors, segments=s)).collect()}
+            for s in (True, False)
+        ]
+        assert share[0].keys() == share[1].keys() and all(abs(share[0][x] - share[1][x]) < 1e-12 for x in share[0])
+
+
+def test_a_set_travels_once_a_block_and_counts_are_not_dealt_by_run(spark):
+    crowd, sets = market(spark)
+    rows = scenarios._block_sets(crowd, sets, (Scenario("s"),))
+    assert 2 <= rows.count() <= -(-400 // scenarios.BLOCK)  # not one a household
+    assert rows.agg(F.sum(F.aggregate("people", F.lit(0).cast("long"), lambda a, x: a + x["households"]))).first()[0] == 400
+    picks = scenarios.scenario_picks(crowd, sets, (Scenario("s"),))
+    for share in (scenarios.choice_share(picks), scenarios.segment_share(picks)):
+        plan = share._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_sampled_index_follows_the_running_sum(spark):
     p = F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5))
     rows = spark.createDataFrame([(0.0,), (0.19,), (0.2,), (0.49,), (0.51,), (0.9999,)], "u double")
