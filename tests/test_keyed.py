@@ -97,3 +97,16 @@ def test_streams_with_late_repeats_and_restart(spark, tmp_path):
     before = keyed.versions(spark, table)
     assert keyed.ingest_batch(spark, table, some_events(spark, 90, 95), source_id="crm", stream=("web", state["web"])) == {}
     assert keyed.versions(spark, table) == before
+
+
+def test_a_large_batch_is_dealt_before_its_repeats_collapse(spark, tmp_path, monkeypatch):
+    """One read task would sort the whole batch: parts follow from its rows. Repeats, hot ones too, still collapse."""
+    monkeypatch.setattr(keyed, "ROWS_PER_TASK", 100)
+    hot = some_events(spark, 5, 6).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(256)))).drop("copy")
+    many = some_events(spark, 0, 700).unionAll(some_events(spark, 0, 44)).unionAll(hot).coalesce(1)
+    assert keyed.dealt(many).rdd.getNumPartitions() == 10 and keyed.dealt(some_events(spark, 0, 100).coalesce(1)).rdd.getNumPartitions() == 1
+    plans, first = [], keyed.first_per_key
+    monkeypatch.setattr(keyed, "first_per_key", lambda new: (plans.append(new.rdd.getNumPartitions()), first(new))[1])
+    path = str(tmp_path / "t")
+    got = keyed.ingest_batch(spark, path, many, source_id="crm")
+    assert (got["received"], got["inserted"]) == (1000, 700) and held(spark, path) == list(range(700)) and plans == [10]
