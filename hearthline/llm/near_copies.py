@@ -159,8 +159,9 @@ def near_larger(docs: DataFrame, prints: DataFrame, width: int, least: float, bu
 
     The first round's cells are the components of fingerprints within `budget` bits and the first MinHash bands. In every cell of a round the set of the smallest id is held against the others, so a round's pairs are at most one a
     set and band however large a cell is. Sets found near leave. Where two or more others are left in a cell, they go to
-    the next round, whose bands have more rows: texts alike in little part there, near ones still meet. A very long text
-    is one set of eight bytes a different shingle.
+    the next round, whose bands have more rows: texts alike in little part there, near ones still meet. So a set makes 24
+    rows in the first round and 24, 48 and 98 at most in the others, whatever the size of its cells. A very long text is
+    one set of eight bytes a different shingle.
     """
     sets = prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.min("bits").alias("bits"), F.first("bands").alias("bands"))
     banded = sets.select("digest", "id", "size", F.explode("bands").alias("cell"))
@@ -185,7 +186,7 @@ def near_larger(docs: DataFrame, prints: DataFrame, width: int, least: float, bu
         if left.isEmpty():
             break
         again = left.select("digest", "id", "size").distinct().join(made, "digest")
-        cells = _crowded(_dealt_again(again, number + 1))
+        cells = _crowded(cut_lineage(_dealt_again(again, number + 1)))  # read twice, made once
     return gone.distinct()
 
 

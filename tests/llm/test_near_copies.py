@@ -68,6 +68,31 @@ def test_pairs_grow_with_the_texts_and_not_their_square(spark, monkeypatch):
     assert counts[1] < 6 * counts[0]
 
 
+def test_rows_of_later_rounds_are_made_once(spark, monkeypatch):
+    """A set left in a crowded cell makes one row a band in the next round, and no step makes them anew."""
+    from hearthline.llm import near_copies
+
+    rng = random.Random(12)
+    made, sets, dealt = spark.sparkContext.accumulator(0), [], near_copies._dealt_again
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    def watched(some, number):
+        sets.append((some.count(), number))
+        out = dealt(some, number)
+        return out.mapInArrow(counted, out.schema)
+
+    monkeypatch.setattr(near_copies, "_dealt_again", watched)
+    common = [f"c{i}" for i in range(200)]
+    rows = [(k, " ".join(common + [f"t{rng.random()}" for _ in range(40)]), "en", "s", 0) for k in range(100)]
+    assert near_copies.keep_one(spark.createDataFrame(rows, SCHEMA)).count() == 100
+    assert sum(n for n, _ in sets) > 100
+    assert made.value == sum(n * near_copies.ROUNDS[number][0] for n, number in sets)
+
+
 def test_null_repeated_and_clashing_rows(spark):
     from hearthline.llm import near_copies
 
