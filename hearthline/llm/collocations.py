@@ -75,9 +75,9 @@ class Words:
         doc = np.searchsorted(begin, starts, "right") - 1
         self.lang = np.array([places[lang] for lang, _ in portion], np.int64)[doc]
         digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(x.as_buffer()) for x in self.names] or [0], np.uint64)
-        salts = np.array([digest(x.encode()) for x in self.langs] or [0], np.uint64)
-        self.hash = hashes[self.code] * _MIX[0] + salts[self.lang]
+        self.hashes = np.array([digest(x.as_buffer()) for x in self.names] or [0], np.uint64)
+        self.salts = np.array([digest(x.encode()) for x in self.langs] or [0], np.uint64)
+        self.hash = self.hashes[self.code] * _MIX[0] + self.salts[self.lang]
 
     def cells(self, bits: int, orders: int) -> Iterator[np.ndarray]:
         """For 1, 2, .. `orders` words, the cell of the run that starts at each word (of no meaning beyond a piece)."""
@@ -192,8 +192,8 @@ def frequent_cells(docs: DataFrame, least: int, bits: int, portion: int, order:
     return bytes(out)
 
 
-def _window_rows(words: Words, sketch: Sketches, order: int) -> pa.Table:
-    """The windows of one portion with their counts."""
+def _window_rows(words: Words, sketch: Sketches, order: int, blocks: int = 64) -> pa.Table:
+    """The windows of one portion with their counts and the block that a window belongs to, the same in every task."""
     langs = pa.array(words.langs, pa.string())
     columns, codes = [], np.full((order, words.n), -1, np.int64)
     alive = np.ones(words.n, bool)
@@ -209,49 +209,92 @@ def _window_rows(words: Words, sketch: Sketches, order: int) -> pa.Table:
             known = alive
     rare = np.bincount(words.lang[~known], minlength=len(words.langs))
     lang, codes = words.lang[known], codes[:, known]
-    keys = (lang.astype(np.uint64) + np.uint64(1)) * _MIX[1]
+    keys = words.salts[lang] * _MIX[1]
     for column in codes:
-        keys = (keys ^ (column + 1).astype(np.uint64)) * _MIX[0]
+        keys = (keys ^ np.where(column < 0, np.uint64(0), words.hashes[column])) * _MIX[0]
         keys ^= keys >> np.uint64(29)
+    block = ((keys >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
     _, first, place, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
     if not ((lang == lang[first][place]).all() and (codes == codes[:, first[place]]).all()):
         first, n = np.arange(len(lang)), np.ones(len(lang), np.int64)  # two windows share a key: count none together
     columns = [words.names.take(pa.array(c[first], pa.int64(), mask=c[first] < 0)) for c in codes]
     rows = np.flatnonzero(rare)
     blank = [pa.nulls(len(rows), pa.string())] * order
-    names = ["lang", *(f"w{k + 1}" for k in range(order)), "n"]
+    names = ["block", "lang", *(f"w{k + 1}" for k in range(order)), "n"]
+    at = pa.array(np.zeros(len(rows), np.int64))
     return pa.concat_tables([
-        pa.Table.from_arrays([langs.take(pa.array(lang[first])), *columns, pa.array(n)], names=names),
-        pa.Table.from_arrays([langs.take(pa.array(rows)), *blank, pa.array(rare[rows])], names=names),
+        pa.Table.from_arrays([pa.array(block[first]), langs.take(pa.array(lang[first])), *columns, pa.array(n)], names=names),
+        pa.Table.from_arrays([at, langs.take(pa.array(rows)), *blank, pa.array(rare[rows])], names=names),
     ])
 
 
-def windows(docs: DataFrame, order: int, short, long, bits: int, portion: int, rows_at_once: int = 400_000) -> DataFrame:
-    """Rows (lang, w1 .. w<order>, n): the padded longest windows, equal ones of a task counted together. Words too rare
-    for any phrase are counted in a window of no words. `short` and `long` are broadcasts of `frequent_cells`."""
+def _together(tables: list[pa.Table]) -> pa.Table:
+    """Equal windows as one row."""
+    table = pa.concat_tables(tables)
+    names = [c for c in table.column_names if c != "n"]
+    return table.group_by(names, use_threads=False).aggregate([("n", "sum")]).rename_columns([*names, "n"])
+
+
+def windows(
+    docs: DataFrame, order: int, short, long, bits: int, portion: int, rows_at_once: int = 400_000, blocks: int = 64
+) -> DataFrame:
+    """Rows (lang, w1 .. w<order>, n): the padded longest windows, equal ones counted together. Words too rare for any
+    phrase are counted in a window of no words. `short` and `long` are broadcasts of `frequent_cells`.
+
+    Most windows stand in every task, so a row for each task and window would grow with tasks times windows. A task
+    sends the windows of a block as one packed row; whoever gets a block adds its windows up as they stream by.
+    """
+    words_ = [f"w{k + 1}" for k in range(order)]
 
     def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
         sketch, held, n, limit = Sketches(bits, short.value, long.value), [], 0, rows_at_once
 
-        def together() -> pa.Table:
-            table = pa.concat_tables(held)
-            names = [c for c in table.column_names if c != "n"]
-            return table.group_by(names, use_threads=False).aggregate([("n", "sum")]).rename_columns([*names, "n"])
+        def packed(table: pa.Table) -> pa.RecordBatch:
+            table = table.sort_by("block").combine_chunks()
+            used, first = np.unique(table.column("block").to_numpy(), return_index=True)
+            table, ends = table.drop_columns(["block"]), [*first[1:].tolist(), len(table)]
+            rows = [pack(table.slice(a, b - a).to_batches()[0].serialize()) for a, b in zip(first.tolist(), ends)]
+            return pa.RecordBatch.from_pydict({"block": used, "windows": pa.array(rows, pa.binary())})
 
         for words in _read(batches, portion):
-            held.append(_window_rows(words, sketch, order))
+            held.append(_window_rows(words, sketch, order, blocks))
             n += len(held[-1])
             if n > limit:
-                held = [together()]
+                held = [_together(held)]
                 n = len(held[0])
                 if n > limit // 2:  # mostly different ones: send them on
-                    yield from held[0].to_batches(50_000)
+                    yield packed(held[0])
                     held, n = [], 0
+        if n:
+            yield packed(_together(held))
+
+    def add(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        kind = pa.schema([("lang", pa.string()), *((w, pa.string()) for w in words_), ("n", pa.int64())])
+        block, held, n, limit = -1, [], 0, rows_at_once
+        for batch in batches:
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if b != block:
+                    if held:
+                        yield from _together(held).to_batches(50_000)
+                    block, held, n, limit = b, [], 0, rows_at_once
+                some = pa.ipc.read_record_batch(pa.py_buffer(unpack(data.as_buffer())), kind)
+                held.append(pa.Table.from_batches([some]))
+                n += len(some)
+                if n > limit:
+                    held = [_together(held)]
+                    n = len(held[0])
+                    limit = 2 * n + rows_at_once
         if held:
-            yield from together().to_batches(50_000)
+            yield from _together(held).to_batches(50_000)
 
-    columns = [f"w{k + 1} string" for k in range(order)]
-    return docs.mapInArrow(run, ", ".join(["lang string", *columns, "n long"]))
+    parts = docs.mapInArrow(run, "block long, windows binary").repartition("block").sortWithinPartitions("block")
+    return parts.mapInArrow(add, ", ".join(["lang string", *(f"{w} string" for w in words_), "n long"]))
 
 
 def phrase_counts(docs: DataFrame, order: int = 5, least: int = 100, lang: str = "lang", text: str = "text", portion: int = 8 << 20) -> DataFrame:
@@ -265,7 +308,8 @@ def phrase_counts(docs: DataFrame, order: int = 5, least: int = 100, lang: str =
     short = share(frequent_cells(rows, least, bits, portion, order))
     long = share(frequent_cells(rows, least, bits, portion, order, short))
     columns = [f"w{k + 1}" for k in range(order)]
-    counted = windows(rows, order, short, long, bits, portion).rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("summed"))
+    blocks = max(64, size >> 29)
+    counted = windows(rows, order, short, long, bits, portion, blocks=blocks).rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("summed"))
     # a bit of `summed` is set for each column that is summed over
     level = counted.where("lang IS NOT NULL").withColumn("k", order - F.bit_count("summed"))
     full = F.array(*columns)
@@ -289,7 +333,7 @@ def collocations(
     floor(1000 a n / (l r)) in exact decimals. A phrase inside a longer candidate that is met as often is left out. Null
     languages are `und`, null and empty texts have no words; repeated rows count each time; texts of any length are read
     whole, in portions cut where a piece ends; other columns are ignored; an empty table gives no rows. Counting shuffles
-    pre-counted windows; all later steps see phrases that passed `least`, joined by phrase, and the ranking first takes
+    pre-counted windows packed by block; all later steps see phrases that passed `least`, joined by phrase, and the ranking first takes
     `top` from each of many parts of a language.
     """
     found = cut_lineage(phrase_counts(docs, order, least, lang, text, portion))

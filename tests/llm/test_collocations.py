@@ -87,6 +87,14 @@ def test_equal_windows_of_a_task_are_one_row(spark):
     assert got.count() == 12 and {r.n for r in got.collect()} == {200}
 
 
+def test_windows_do_not_grow_with_the_tasks(spark, made):
+    """A window that stands in every task is one row, with all its occurrences."""
+    rows = [(lang or "und", (text or "").encode()) for lang, text in made] * 8
+    docs = spark.createDataFrame(rows, "lang string, text binary")
+    few, many = (co.windows(docs.repartition(n), 5, full(spark), full(spark), 16, 1000).collect() for n in (1, 8))
+    assert sorted(map(str, few)) == sorted(map(str, many)) and len(few) == len({r[:-1] for r in few}) > 1000
+
+
 def test_colliding_window_keys_change_nothing(monkeypatch):
     monkeypatch.setattr(co, "_MIX", (np.uint64(0),) * 3)  # all keys and all cells are equal
     words = co.Words([("en", b"a b c. b c"), ("fr", b"a b")])
