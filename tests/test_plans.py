@@ -143,6 +143,22 @@ def test_snapshot_to_locked_forecast(spark, world, tmp_path):
         forecast.forecast_experiment(definition, other, people, sets, **kwargs)
 
 
+def test_event_lines_are_hashed_once_a_freeze_and_once_a_verification(spark, world, tmp_path, monkeypatch):
+    """The identity and the hash tree read the same stored hashes."""
+    events, snaps, _ = world
+    path, line, hashed = str(tmp_path / "frozen"), snapshot.event_line, spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        hashed.add(1)
+        return text
+
+    monkeypatch.setattr(snapshot, "event_line", lambda: F.udf(seen, "string").asNondeterministic()(line()))
+    n = snapshot.freeze_dataset(events, snaps, {}, path).first()["event_count"]
+    assert n == 40 * 4 + 4 and hashed.value == n
+    snapshot.verify_dataset(spark, path)
+    assert hashed.value == 2 * n
+
+
 def test_verification_fails_on_changed_content(spark, world, tmp_path):
     events, snaps, inputs = world
     path = str(tmp_path / "frozen")
