@@ -132,6 +132,33 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert a[0] != a[1]
 
 
+def test_bootstrap_passes_are_gradients_and_reach_the_newton_optimum(spark, monkeypatch):
+    sets = logit.training_sets(random_sets(spark, 400)).repartition(3).cache()
+    start = np.array([DEFAULT_WEIGHTS[n] for n in FEATURES])
+    real, wide = logit._pass, []
+
+    def counted(sets, weights, **kwargs):
+        if len(np.unique(weights, axis=0)) > 1:
+            wide.append(kwargs.get("hessian", True))
+        return real(sets, weights, **kwargs)
+
+    monkeypatch.setattr(logit, "_pass", counted)
+    samples = logit.bootstrap_fit(sets, replicates=6)
+    assert wide and sum(wide) <= 1  # replicates at weights of their own seldom need their Hessians
+    w, _, done, _ = logit._newton(
+        sets, start, list(range(6)), l2=0.001, tol=1e-12, max_iter=50, scheme="poisson", seed=42
+    )
+    assert done.all()
+    assert np.allclose([[s[n] for n in FEATURES] for s in samples], w, rtol=0, atol=1e-9)
+
+
+def test_replicates_at_one_point_share_their_sets(spark):
+    sets = logit.training_sets(random_sets(spark, 60)).repartition(2).cache()
+    w = np.array([DEFAULT_WEIGHTS[n] for n in FEATURES])
+    apart = np.vstack([logit._pass(sets, w[None, :], replicates=[r], scheme="poisson") for r in range(5)])
+    assert np.allclose(logit._pass(sets, np.tile(w, (5, 1)), scheme="poisson"), apart, rtol=1e-12, atol=1e-9)
+
+
 def test_exact_bootstrap_draws_n_sets(spark):
     sets = logit.training_sets(random_sets(spark, 50))
     counted = logit.exact_counts(sets, 3, seed=1, n=50)
