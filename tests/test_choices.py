@@ -417,3 +417,40 @@ def test_commute_can_come_once_per_decision(spark):
     known = spark.createDataFrame([("d", 12.0)], "decision_id string, commute_min double")
     got = {(r[0], r[1]): r.commute_min for r in choices.add_commute(rows, known, on=["decision_id"]).collect()}
     assert got == {("d", "K-u"): 12.0, ("d", "OUT-RENT"): None, ("e", "K-u"): None}
+
+
+def optimized(name, spark):
+    from hearthline.bindings.queries import run
+
+    return run(name, spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_search_through_spells_stands_once_in_a_plan(spark):
+    for name in ("historical_decisions", "choice_set"):
+        assert optimized(name, spark).count("filter(spells#") == 1, name
+
+
+def test_unit_versions_are_dealt_by_part_once(spark):
+    from hearthline.bindings.market import Market
+
+    plan = Market(spark, "/root/testdata/sf0.001").units._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rivals_matter_only_where_they_win(spark):
+    """A version that shares its start with one that has ended, and two offers of a sold unit, are no ambiguity."""
+    versions = spark.createDataFrame(
+        [("a", "U1", "p", "K1", "t", "available", day(1), day(3), "s"),
+         ("b", "U1", "p", "K1", "t", "available", day(1), day(9), "s"),
+         ("c", "U2", "p", "K2", "t", "sold", day(1), None, "s")], UNIT_SCHEMA,
+    )
+    priced = spark.createDataFrame(
+        [(o, u, None, 1e9, None, 0.0, 0.0, "P", 0.3, 9e6, day(1), None, "s")
+         for o, u in (("f1", "U1"), ("f2", "U2"), ("f3", "U2"))], OFFER_SCHEMA,
+    )
+    asofs = spark.createDataFrame([("p", day(2)), ("p", day(4)), ("p", day(20))], "project_id string, as_of timestamp")
+    sets, bad = choices.choice_sets(asofs, versions, priced)
+    found = bad.select(F.dayofmonth("as_of").alias("d"), "code").collect()
+    assert [tuple(r) for r in found] == [(2, "ambiguous_unit_version")]
+    sizes = {r["d"]: r["n"] for r in sets.select(F.dayofmonth("as_of").alias("d"), F.size("alts").alias("n")).collect()}
+    assert sizes == {2: 6, 4: 6, 20: 5}
