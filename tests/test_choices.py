@@ -454,3 +454,7 @@ def test_rivals_matter_only_where_they_win(spark):
     assert [tuple(r) for r in found] == [(2, "ambiguous_unit_version")]
     sizes = {r["d"]: r["n"] for r in sets.select(F.dayofmonth("as_of").alias("d"), F.size("alts").alias("n")).collect()}
     assert sizes == {2: 6, 4: 6, 20: 5}
+
+
+def test_sets_are_checked_as_they_lie(spark):
+    assert "posexplode" not in optimized("validate_choice_sets", spark)
