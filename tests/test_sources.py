@@ -137,6 +137,27 @@ def test_jsonl_round_trip(spark, tmp_path):
     assert good.count() == 0 and bad.count() == 2
 
 
+def test_the_jsonl_queries_write_files_and_read_them(spark):
+    import glob
+
+    from hearthline.bindings.queries import run
+    from hearthline.session import shared_dir
+
+    for name, total in (("write_events_jsonl", lambda df: df.first()["records"]), ("read_events_jsonl", lambda df: df.count())):
+        before = set(glob.glob(f"{shared_dir(spark)}/events-jsonl-*".replace("file:", "")))
+        found = total(run(name, spark, "/root/testdata/sf0.001"))
+        new = set(glob.glob(f"{shared_dir(spark)}/events-jsonl-*".replace("file:", ""))) - before
+        assert len(new) == 1 and found == spark.read.text(new.pop()).count() > 0
+
+
+def test_compressed_lines_are_the_same_events(spark, tmp_path):
+    df = sample_events(spark, ["a", "b"])
+    assert events.write_events_jsonl(df, str(tmp_path / "z"), compression="gzip") == 2
+    assert events.write_events_jsonl(df, str(tmp_path / "e")) == 2
+    z, e = (events.read_events_jsonl(spark, str(tmp_path / n))[0].drop("ingested_at").collect() for n in "ze")
+    assert sorted(map(str, z)) == sorted(map(str, e))
+
+
 def test_ingest_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "store")
     batch = sample_events(spark, ["a", "b", "a"])
