@@ -159,6 +159,14 @@ def test_event_lines_are_hashed_once_a_freeze_and_once_a_verification(spark, wor
     assert hashed.value == 2 * n
 
 
+def test_frozen_files_are_compressed_tightly(spark, world, tmp_path):
+    events, snaps, inputs = world
+    snapshot.freeze_dataset(events, snaps, inputs, str(tmp_path / "frozen"))
+    for name in ("events", "source_snapshots", *(f"inputs/{n}" for n in inputs)):
+        files = list((tmp_path / "frozen" / name).glob("*.parquet"))
+        assert files and all(f.name.endswith(".zstd.parquet") for f in files), name
+
+
 def test_verification_fails_on_changed_content(spark, world, tmp_path):
     events, snaps, inputs = world
     path = str(tmp_path / "frozen")
