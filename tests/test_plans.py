@@ -185,6 +185,45 @@ def test_poor_evidence_is_not_calibrated(spark, world, tmp_path):
         calibration.calibration_run(spark, path, code_version="abc")
 
 
+def test_the_calibration_query_runs_its_gate_and_default_sizes(spark, monkeypatch):
+    from hearthline.bindings.queries import run
+
+    gated, asked = [], {}
+    gate, fit, people = calibration.gate, calibration.bootstrap_fit, calibration.population_fit
+
+    def counted(violations, **kwargs):
+        gated.append(violations.count())
+        return gate(violations, **kwargs)
+
+    def fitted(sets, **kwargs):
+        asked["replicates"] = kwargs["replicates"]
+        return fit(sets, **kwargs)
+
+    def populated(events, **kwargs):
+        asked["size"] = kwargs["diagnostic_size"]
+        return people(events, **kwargs)
+
+    monkeypatch.setattr(calibration, "gate", counted)
+    monkeypatch.setattr(calibration, "bootstrap_fit", fitted)
+    monkeypatch.setattr(calibration, "population_fit", populated)
+    row = run("calibration_run", spark, "/root/testdata/sf0.001").first()
+    assert gated == [0] and asked == {"replicates": 100, "size": 5000}
+    # no decision is lost: every verified outcome is a choice or has no known one
+    assert row["model_status"] == "candidate" and row["train_examples"] + row["holdout_examples"] == row["historical_choices"]
+
+
+def test_a_booking_lists_its_part_and_nothing_else_is_lost(spark):
+    from hearthline.bindings import market
+    from hearthline.bindings.queries import _decisions
+
+    plain, listed = (m(spark, "/root/testdata/sf0.001") for m in (market.Market, market.ListedMarket))
+    good, bad = _decisions(listed)
+    assert bad.count() == 0 and _decisions(plain)[1].count() > 0
+    assert good.count() == listed.outcome_events.where("payload['verified'] = 'true'").count()
+    missing = plain.units.join(listed.units, "version_id", "left_anti")
+    assert missing.count() == 0
+
+
 def test_unapproved_models_can_be_explored_with_a_warning(spark):
     model = forecast.Model("a", "candidate", "s", DEFAULT_WEIGHTS, [DEFAULT_WEIGHTS])
     assert forecast._require_approval(model, True) == ("unapproved_model:candidate",)
